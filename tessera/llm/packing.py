@@ -20,40 +20,109 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
+from tessera.llm.textbytes import Rolling, blocks, joined, worker_state
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of the word memo of a worker; beyond it the memo starts anew.
-MEMO = 700_000
+#: Entries of the memo of a worker; beyond it the memo starts anew.
+MEMO = 1_500_000
+#: Characters that are cut into parts at once.
+BLOCK = 2_000_000
 
 
 # ---------------------------------------------------------------- tokens
 
 
-class WordIds:
-    """Token ids of texts as little-endian bytes.
+#: Byte kinds: white space, ASCII letters, ASCII punctuation, digits, and what may belong to either side.
+_KIND = np.full(256, 4, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
+_KIND[48:58] = 3
+
 
-    For vocabularies that drop white space, so that a text's ids are those of
-    its space-separated parts one after another; each part is encoded once.
+class WordIds:
+    """Token ids of whole texts.
+
+    For vocabularies that drop white space, fold case and never join letters
+    with ASCII punctuation, digits or each other's neighbours across these
+    borders: a text's ids are those of its parts, one after another. A part
+    next to an apostrophe or a character beyond ASCII is not cut there. Each
+    distinct part is encoded once and found again by two 64-bit hashes; where
+    only one of them agrees, or a special token may be meant, the tokenizer
+    gets the whole text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.one, self.two = Rolling(3), Rolling(4)
+        self.clear()
+
+    def clear(self) -> None:
+        self.h1 = self.h2 = np.zeros(0, dtype=np.uint64)
+        self.at = self.size = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.uint32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        missing = list(dict.fromkeys(w for words in split for w in set(words) if w not in memo))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[word] = array("I", found.ids).tobytes()
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        out: list[bytes] = [b""] * len(texts)
+        parts = [i for i, t in enumerate(texts) if "<|" not in t]
+        for i in sorted({*range(len(texts))} - {*parts}):
+            out[i] = self._whole(texts[i])
+        plain = [texts[i] for i in parts]
+        for piece in blocks(plain, BLOCK):
+            for i, ids in zip(parts[piece], self._block(plain[piece]), strict=True):
+                out[i] = ids
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        buf, begin = joined(texts)
+        kind = _KIND[buf]
+        before = np.concatenate([[np.uint8(0)], kind[:-1]])
+        other = (kind != before) & (((kind < 4) & (before < 4)) | (kind == 0) | (before == 0)) | ((kind == 3) & (before == 3))
+        edge = np.append(np.flatnonzero(other), len(buf))
+        starts, ends = edge[:-1], edge[1:]
+        real = kind[starts] != 0
+        starts, ends = starts[real], ends[real]
+        h1, h2 = self.one.runs(buf, starts, ends), self.two.runs(buf, starts, ends)
+        order = np.argsort(h1)
+        s1, s2 = h1[order], h2[order]
+        new = np.ones(len(s1), dtype=bool)
+        new[1:] = s1[1:] != s1[:-1]
+        u1, u2, first = s1[new], s2[new], order[new]
+        rank = np.cumsum(new) - 1
+        if len(self.h1) > MEMO:
+            self.clear()
+        at = np.searchsorted(self.h1, u1)
+        known = np.zeros(len(u1), dtype=bool)
+        inside = at < len(self.h1)
+        known[inside] = self.h1[at[inside]] == u1[inside]
+        if (s2 != u2[rank]).any() or (self.h2[at[known]] != u2[known]).any():
+            return [self._whole(t) for t in texts]
+        lost = np.flatnonzero(~known)
+        if len(lost):
+            raw = buf.tobytes()
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[first[lost]].tolist(), ends[first[lost]].tolist(), strict=True)]
+            found = [e.ids for k in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+            size = np.array([len(x) for x in found], dtype=np.int64)
+            flat = np.fromiter((t for ids in found for t in ids), dtype=np.uint32, count=int(size.sum()))
+            self.size = np.insert(self.size, at[lost], size)
+            self.at = np.insert(self.at, at[lost], len(self.flat) + np.cumsum(size) - size)
+            self.h1, self.h2 = np.insert(self.h1, at[lost], u1[lost]), np.insert(self.h2, at[lost], u2[lost])
+            self.flat = np.concatenate([self.flat, flat])
+            at = np.searchsorted(self.h1, u1)
+        entry = np.empty(len(order), dtype=np.int64)
+        entry[order] = at[rank]
+        size = self.size[entry]
+        ends_at = np.cumsum(size)
+        ids = self.flat[np.repeat(self.at[entry] - (ends_at - size), size) + np.arange(int(size.sum()))].astype("<u4").tobytes()
+        owner = np.searchsorted(begin, starts, side="right") - 1
+        edges = 4 * np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(texts)).astype(np.int64))])
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def piece_rows(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,13 +133,13 @@ def piece_rows(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = WordIds(vocabulary)
+        coder = worker_state(f"ids {vocabulary}", lambda: WordIds(vocabulary))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(keys), 256):  # bounds what a batch of very long texts holds at once
+            for at in range(0, len(keys), 1024):  # bounds what a batch of very long texts holds at once
                 rows: list[tuple] = []
-                part = [x or "" for x in texts.slice(at, 256).to_pylist()]
-                for doc, ids in zip(keys.slice(at, 256).to_pylist(), coder.encode(part), strict=True):
+                part = [x or "" for x in texts.slice(at, 1024).to_pylist()]
+                for doc, ids in zip(keys.slice(at, 1024).to_pylist(), coder.encode(part), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
