@@ -36,11 +36,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z only) maximal runs of anything but ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (wraps around)."""
     with np.errstate(over="ignore"):

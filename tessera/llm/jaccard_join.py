@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix64, partitions, words_of
+from tessera.llm.common import cut, mix64, partitions
 from tessera.llm.graph import components
 from tessera.llm.streams import grouped
+from tessera.llm.textbytes import Rolling, blocks, word_hashes, worker_state
 
 SHINGLE = 5
-#: Words that are turned into signatures at once.
-BLOCK = 1_000_000
-MEMO = 400_000
+#: Characters of text that are turned into signatures at once.
+BLOCK = 3_000_000
 #: Signature bits that are compared; what falls together by chance is sorted out by the check.
 BITS = 48
 #: Documents of one signature run that a task compares with as many others.
@@ -43,51 +43,28 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 # ------------------------------------------------------------------ shingles
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > MEMO:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingle_sets(texts: list[str | None], hashes: WordHashes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' distinct shingle hashes, sorted within a text, one text after another; and how many each has."""
-    words = [words_of(t) for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.fromiter((h for w in words for h in map(hashes.__getitem__, w)), dtype=np.uint64, count=int(n.sum()))
+def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' distinct shingle hashes, one text after another; and how many each has."""
+    flat, n = word_hashes(texts, worker_state("shingle words", lambda: Rolling(5)))
     k = np.where(n == 0, 0, np.maximum(1, n - width + 1))
     doc = np.repeat(np.arange(len(texts)), k)
-    first = np.repeat(np.cumsum(n) - n, k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+    first = np.arange(int(k.sum())) + np.repeat(np.cumsum(n) - n - np.cumsum(k) + k, k)
     sums, power = np.zeros(len(doc), dtype=np.uint64), np.uint64(1)
-    long = n[doc]
-    padded = np.concatenate([flat, np.zeros(width, dtype=np.uint64)])
+    flat = np.concatenate([flat, np.zeros(width, dtype=np.uint64)])
+    short = np.flatnonzero(n[doc] < width)
     with np.errstate(over="ignore"):
         for i in range(width):
-            sums += np.where(i < long, padded[first + i], np.uint64(0)) * power
+            sums += flat[first + i] * power
             power *= _R
-        sums = mix64(sums + np.minimum(long, width).astype(np.uint64))
-    order = np.lexsort((sums, doc))
-    sums, doc = sums[order], doc[order]
-    fresh = np.ones(len(sums), dtype=bool)
-    fresh[1:] = (sums[1:] != sums[:-1]) | (doc[1:] != doc[:-1])
-    sums, doc = sums[fresh], doc[fresh]
-    return sums, np.bincount(doc, minlength=len(texts))
-
-
-def blocks(texts: list[str | None], limit: int = BLOCK):
-    """Slices of ``texts`` of about ``limit`` words, judged by their length."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        own = len(text or "") // 5
-        if i > start and size + own > limit:
-            yield slice(start, i)
-            start, size = i, 0
-        size += own
-    if start < len(texts):
-        yield slice(start, len(texts))
+        for at in short.tolist():  # one shingle of fewer words
+            words = flat[first[at] : first[at] + n[doc[at]]]
+            sums[at] = np.uint64(sum(int(w) * pow(int(_R), i, 1 << 64) for i, w in enumerate(words)) + 1 + len(words) & 0xFFFFFFFFFFFFFFFF)
+        sums = mix64(sums)
+        own = mix64(sums + doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(own)
+    fresh = np.ones(len(own), dtype=bool)
+    fresh[order[1:]] = own[order[1:]] != own[order[:-1]]
+    return sums[fresh], np.bincount(doc[fresh], minlength=len(texts))
 
 
 def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +81,28 @@ def _sum64(cell: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
         return low + (high << np.uint64(32))
 
 
+def sketch_bits(n: int) -> int:
+    """Four to eight bits for each of ``n`` elements."""
+    return max(64, 4 << int(n - 1).bit_length()) if n else 64
+
+
 def sketch(h: np.ndarray) -> bytes:
-    """A bitmap of at least a bit for each element, its width a power of two."""
-    bits = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
+    """A bitmap of the elements, its width a power of two."""
+    bits = sketch_bits(len(h))
     flags = np.zeros(bits, dtype=bool)
     flags[(h & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def _folded(bitmap: bytes, bits: int) -> np.ndarray:
+    x = np.frombuffer(bitmap, dtype=np.uint64)
+    return np.bitwise_or.reduce(x.reshape(-1, bits // 64)) if len(x) * 64 > bits else x
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """At least so many elements are in one of the two sets alone."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    if len(x) > len(y):
-        x = np.bitwise_or.reduce(x.reshape(-1, len(y)))
-    elif len(y) > len(x):
-        y = np.bitwise_or.reduce(y.reshape(-1, len(x)))
-    return int(np.bitwise_count(x ^ y).sum())
+    bits = 8 * min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, bits) ^ _folded(b, bits)).sum())
 
 
 # ---------------------------------------------------------------- signatures
@@ -218,11 +201,10 @@ def signature_rows(docs: DataFrame, ranges: int) -> DataFrame:
     shift = BITS - ranges.bit_length() + 1
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for piece in blocks(texts):
-                h, n = shingle_sets(texts[piece], hashes)
+            for piece in blocks(texts, BLOCK):
+                h, n = shingle_sets(texts[piece])
                 a, b = set_keys(h, n)
                 _, one = np.unique(a ^ mix64(b), return_index=True)  # a set's copies in this block speak once
                 chosen = np.zeros(len(n), dtype=bool)
@@ -243,7 +225,7 @@ def signature_rows(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _runs(batches):
-    """Of each range: (0, a, b) for the first document of a run with each other; (1, run, doc) for different runs of three or more."""
+    """Of each range: (0, a, b) for a run's first document, and for the one that most runs of the range hold, with each other; (1, run, doc) for different runs of three or more."""
 
     def rows(kind, x, y):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int8)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], names=["kind", "x", "y"])
@@ -268,12 +250,22 @@ def _runs(batches):
         _, one = np.unique(name, return_index=True)  # runs of the same documents speak once
         start, size, name = start[one], size[one], name[one]
         index = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        first = np.repeat(doc[start], size)
-        pairs = np.unique(np.stack([first, doc[index]], axis=1)[first != doc[index]], axis=0)
+        member = doc[index]
+        _, number, held = np.unique(member, return_inverse=True, return_counts=True)
+        run = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((member, -held[number], run))
+        hub = member[order[np.cumsum(size) - size]]
+        ends = np.concatenate([np.stack([np.repeat(c, size), member], axis=1) for c in (doc[start], hub)])
+        ends = ends[ends[:, 0] != ends[:, 1]]
+        ends.sort(axis=1)
+        ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
+        fresh = np.ones(len(ends), dtype=bool)
+        fresh[1:] = (ends[1:] != ends[:-1]).any(axis=1)
+        pairs = ends[fresh]
         yield rows(0, pairs[:, 0], pairs[:, 1])
         big = np.repeat(size > 2, size)
         if big.any():
-            yield rows(1, np.repeat(name, size)[big].view(np.int64), doc[index][big])
+            yield rows(1, np.repeat(name, size)[big].view(np.int64), member[big])
 
     current, sigs, docs = None, [], []
     for batch in batches:
@@ -302,15 +294,14 @@ def _screen(batches):
 
 def _verify(batches):
     """(ka, ta, kb, tb) to the (ka, kb) that link."""
-    hashes = WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts = part.column(1).to_pylist() + part.column(3).to_pylist()
             distinct = list(dict.fromkeys(texts))
             sets: dict = {}
-            for piece in blocks(distinct):
-                h, n = shingle_sets(distinct[piece], hashes)
+            for piece in blocks(distinct, BLOCK):
+                h, n = shingle_sets(distinct[piece])
                 ends = np.cumsum(n)
                 sets |= {t: h[e - k : e] for t, e, k in zip(distinct[piece], ends, n, strict=True)}
             keep = []
@@ -323,34 +314,49 @@ def _verify(batches):
 
 def _cross(batches):
     """Sorted rows (run, ta, tb, side, key, comp, n, sketch) to the (ka, kb) of different components that may link."""
-    for table in grouped(batches, 3, 2048):
+    for table in grouped(batches, 3, 4096):
         run, ta, tb, side, n = (table.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 6))
-        keys, sketches = table.column(4).to_pylist(), table.column(7).to_pylist()
-        comp = np.unique(np.array([c.hex() for c in table.column(5).to_pylist()]), return_inverse=True)[1]
+        _, key = np.unique(np.array([k.hex() for k in table.column(4).to_pylist()]), return_inverse=True)
+        _, comp = np.unique(np.array([c.hex() for c in table.column(5).to_pylist()]), return_inverse=True)
+        bitmaps = table.column(7).to_pylist()
         new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])]))
-        found = set()
+        left, right, seen = [], [], set()
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(run)], strict=True):
-            cross = ta[a] != tb[a]
-            for i in range(a, b):
-                near = (comp[i + 1 : b] != comp[i]) & (5 * np.minimum(n[i], n[i + 1 : b]) >= 4 * np.maximum(n[i], n[i + 1 : b]))
-                if cross:
-                    near &= side[i + 1 : b] != side[i]
-                for j in (i + 1 + np.flatnonzero(near)).tolist():
-                    if 9 * least_difference(sketches[i], sketches[j]) <= n[i] + n[j]:
-                        found.add((keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]))
-        rows = sorted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["ka", "kb"])
+            members = key[a:b].tobytes() + side[a:b].tobytes() if ta[a] != tb[a] else key[a:b].tobytes()
+            if members in seen:
+                continue
+            seen.add(members)
+            bits = 8 * min(len(x) for x in bitmaps[a:b])
+            x = np.stack([_folded(x, bits) for x in bitmaps[a:b]])
+            rest = np.flatnonzero(comp[a:b] != np.bincount(comp[a:b]).argmax())  # one end is outside the largest component
+            for s in range(0, len(rest), max(1, (1 << 21) // x.size)):
+                i = rest[s : s + max(1, (1 << 21) // x.size)]
+                least = np.bitwise_count(x[i, None, :] ^ x[None, :, :]).sum(axis=2)
+                sizes, total = n[a:b], n[a + i, None] + n[None, a:b]
+                near = (9 * least <= total) & (5 * np.minimum(sizes[i, None], sizes) >= 4 * np.maximum(sizes[i, None], sizes)) & (comp[a + i, None] != comp[None, a:b])
+                if ta[a] != tb[a]:
+                    near &= side[a + i, None] != side[None, a:b]
+                p, q = np.nonzero(near)
+                left.append(a + i[p])
+                right.append(a + q)
+        if not left:
+            continue
+        i, j = np.concatenate(left), np.concatenate(right)
+        swap = key[i] > key[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        _, one = np.unique(key[i] * (key.max() + 1) + key[j], return_index=True)
+        keys = table.column(4).combine_chunks()
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(i[one])), keys.take(pa.array(j[one]))], names=["ka", "kb"])
 
 
 def shingle_classes(docs: DataFrame) -> DataFrame:
     """(doc, n, key, sketch) of each document: set size, set key (null for the empty set), bitmap."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for piece in blocks(texts):
-                h, n = shingle_sets(texts[piece], hashes)
+            for piece in blocks(texts, BLOCK):
+                h, n = shingle_sets(texts[piece])
                 a, b = set_keys(h, n)
                 ends = np.cumsum(n)
                 both = np.stack([a, b], axis=1)
@@ -380,7 +386,8 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     ranges = 1 << max(4, int(max(4 * partitions(spark), total // 1_000_000) - 1).bit_length())
     packed = signature_rows(docs, ranges).repartition(max(partitions(spark), 8), "part").sortWithinPartitions("part")
     met = cut(packed.mapInArrow(_runs, "kind byte, x long, y long"))
-    key_of = table.where("key is not null").select("doc", "key", "n", "sketch")
+    involved = met.select(F.explode(F.when(F.col("kind") == 0, F.array("x", "y")).otherwise(F.array("y"))).alias("doc")).distinct()
+    key_of = cut(table.where("key is not null").select("doc", "key", "n", "sketch").join(involved, "doc", "left_semi"))
     pairs = met.where("kind = 0").select("x", "y").distinct()
     left = key_of.select(F.col("doc").alias("x"), F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     right = key_of.select(F.col("doc").alias("y"), F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
