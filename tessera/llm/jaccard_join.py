@@ -381,7 +381,7 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     """(table of documents, (node, root) of linked set keys). docs: doc, text, with no null in doc."""
     spark = docs.sparkSession
     table = cut(shingle_classes(docs))
-    classes = table.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    classes = table.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"))
     total = table.agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(4, int(max(4 * partitions(spark), total // 1_000_000) - 1).bit_length())
     packed = signature_rows(docs, ranges).repartition(max(partitions(spark), 8), "part").sortWithinPartitions("part")
@@ -395,11 +395,13 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     screened = cut(screened.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct())
     links = cut(_checked(screened, classes, docs))
     roots = components(links, "ka", "kb")
-    # pairs of a run that none of its first document's links has brought together
-    inside = met.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc")).distinct().join(key_of, "doc")
-    inside = inside.join(roots, inside["key"] == roots["node"], "left").select("run", "key", F.coalesce("root", "key").alias("comp"), "n", "sketch").distinct()
+    # pairs of a run that none of its first links has brought together; bitmaps join only the runs that hold such pairs
+    comps = key_of.select("doc", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc", "key", F.coalesce("root", "key").alias("comp"))
+    inside = met.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc")).distinct().join(comps, "doc").select("run", "key", "comp")
     mixed = inside.groupBy("run").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 != c1").select("run", F.ceil(F.col("m") / F.lit(tile)).cast("int").alias("c"))
-    inside = inside.join(mixed, "run").withColumn("side", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
+    inside = cut(inside.join(mixed, "run").distinct())
+    bitmaps = key_of.groupBy("key").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    inside = inside.join(bitmaps, "key").withColumn("side", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     inside = inside.select("run", F.least("side", "other").alias("ta"), F.greatest("side", "other").alias("tb"), "side", "key", "comp", "n", "sketch")
     tiles = inside.repartition(max(partitions(spark), 8), "run", "ta", "tb").sortWithinPartitions("run", "ta", "tb")
