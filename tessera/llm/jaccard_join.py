@@ -31,7 +31,7 @@ from tessera.llm.textbytes import Rolling, blocks, word_hashes, worker_state
 
 SHINGLE = 5
 #: Characters of text that are turned into signatures at once.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: Signature bits that are compared; what falls together by chance is sorted out by the check.
 BITS = 48
 #: Documents of one signature run that a task compares with as many others.
