@@ -15,31 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mix64
+from tessera.llm.textbytes import BLANK, Rolling, blocks, word_hashes, worker_state
 
 MIN_MATCH = 5
 COVERAGE = 0.5
 #: Seeds of a benchmark that are sent to every executor (16 bytes each); a larger benchmark is joined by shuffles.
 MAX_SEEDS = 1_000_000
-MEMO = 400_000
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x00"
-_TABLE = bytes(0x20 if i in _PUNCTUATION or i in b"\t\n\r\x0b\x0c" else (i + 32 if 65 <= i <= 90 else i) for i in range(256))
+#: Characters of text that are turned into tokens at once.
+BLOCK = 1_000_000
+#: White space and ASCII punctuation stand between tokens.
+_BETWEEN = BLANK.copy()
+_BETWEEN[[0, *(c for c in range(33, 127) if not chr(c).isalnum())]] = True
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
-class TokenHashes(dict):
-    """Token bytes to a 64-bit hash, remembered within a bound."""
-
-    def __missing__(self, token: bytes) -> int:
-        import xxhash
-
-        if len(self) > MEMO:
-            self.clear()
-        found = self[token] = xxhash.xxh3_64_intdigest(token)
-        return found
-
-    def of(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all tokens, text after text; and how many each text has."""
+    return word_hashes(texts, worker_state("decontamination words", lambda: Rolling(6)), _BETWEEN)
 
 
 def windows(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -130,16 +122,35 @@ class Benchmark:
         self.flags[(self.seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.memo: dict = {}
 
+    def search(self, texts: list[str | None], coverage: float):
+        """Yields (number of the text, what compare() finds) for the texts that hold seeds."""
+        for piece in blocks(texts, BLOCK):
+            flat, n = token_hashes(texts[piece])
+            ends = np.cumsum(n)
+            found = [np.zeros(0, dtype=np.int64)]
+            for length in self.lengths:
+                p, _ = self._seeds(flat, length)
+                doc = np.searchsorted(ends, p, side="right")
+                found.append(doc[p + length <= ends[doc]])
+            for i in np.unique(np.concatenate(found)).tolist():
+                if got := self.compare(flat[ends[i] - n[i] : ends[i]], coverage):
+                    yield piece.start + i, got
+
+    def _seeds(self, tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where a seed of ``length`` tokens stands, and which."""
+        with np.errstate(over="ignore"):
+            w = windows(tokens, length) + np.uint64(length)
+        p = np.flatnonzero(self.flags[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        p = p[np.isin(w[p], self.seeds)] if len(p) else p
+        return p, w[p]
+
     def compare(self, tokens: np.ndarray, coverage: float) -> list[tuple[int, int, int, list]]:
         """(item, its tokens, tokens covered, tiles) of all items covered to at least ``coverage``."""
         at, seed = [], []
         for n in self.lengths:
-            with np.errstate(over="ignore"):
-                w = windows(tokens, n) + np.uint64(n)
-            p = np.flatnonzero(self.flags[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            p = p[np.isin(w[p], self.seeds)] if len(p) else p
+            p, w = self._seeds(tokens, n)
             at.append(p)
-            seed.append(w[p])
+            seed.append(w)
         at, seed = np.concatenate([np.zeros(0, dtype=np.int64), *at]), np.concatenate([np.zeros(0, dtype=np.uint64), *seed])
         if not len(at):
             return []
@@ -187,8 +198,7 @@ def _small_benchmark(bench: DataFrame, item: str, text: str, max_seeds: int) ->
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.count("*")).first()
     if size[0] / 2 > max_seeds * 4 or size[1] > max_seeds:
         return None
-    hashes = TokenHashes()
-    items = [(r["k"], hashes.of(r["t"])) for r in sorted(rows.collect(), key=lambda r: (r["k"] is None, r["k"] or 0, r["t"]))]
+    items = [(r["k"], token_hashes([r["t"]])[0]) for r in sorted(rows.collect(), key=lambda r: (r["k"] is None, r["k"] or 0, r["t"]))]
     return items if sum(map(len, (t for _, t in items))) <= max_seeds else None
 
 
@@ -206,11 +216,10 @@ def contaminated_pairs(df: DataFrame, bench: DataFrame, key: str = "doc_id", tex
         return _joined_pairs(docs, bench.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("i__")), coverage, least)
 
     def run(batches):
-        hashes, whole = TokenHashes(), Benchmark(items, least)
+        whole = Benchmark(items, least)
         for batch in batches:
-            rows = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [_row(doc, found) for found in whole.compare(hashes.of(value), coverage)]
+            docs_of = batch.column(0)
+            rows = [_row(docs_of[i].as_py(), found) for i, got in whole.search(batch.column(1).to_pylist(), coverage) for found in got]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW_PAIRS)
 
     return docs.mapInArrow(run, f"doc_id long, {PAIRS}")
@@ -228,10 +237,9 @@ def _seed_rows(df: DataFrame, least: int, of_items: bool) -> DataFrame:
     """(row, seed, n): distinct seeds of each text; items give the seeds of their own length, documents those of every length up to ``least``."""
 
     def run(batches):
-        hashes = TokenHashes()
         for batch in batches:
             for row, value in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                tokens = hashes.of(value)
+                tokens = token_hashes([value])[0]
                 lengths = ([min(least, len(tokens))] if len(tokens) else []) if of_items else range(1, least + 1)
                 with np.errstate(over="ignore"):
                     seeds = [np.unique(windows(tokens, n) + np.uint64(n)) for n in lengths]
@@ -250,11 +258,10 @@ def _joined_pairs(docs: DataFrame, items: DataFrame, coverage: float, least: int
     pairs = met.join(docs, "row").join(items, "irow").select("doc_id", "t__", "item_id", "i__")
 
     def run(batches):
-        hashes = TokenHashes()
         for batch in batches:
             rows = []
             for doc, value, item, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows += [_row(doc, found) for found in Benchmark([(item, hashes.of(text))], least).compare(hashes.of(value), coverage)]
+                rows += [_row(doc, found) for found in Benchmark([(item, token_hashes([text])[0])], least).compare(token_hashes([value])[0], coverage)]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW_PAIRS)
 
     return pairs.mapInArrow(run, f"doc_id long, {PAIRS}")
@@ -269,9 +276,10 @@ def decontaminate(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: st
     at = df.columns.index(text)
 
     def run(batches):
-        hashes, whole = TokenHashes(), Benchmark(items, least)
+        whole = Benchmark(items, least)
         for batch in batches:
-            clean = [not whole.compare(hashes.of(value), coverage) for value in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[i for i, _ in whole.search(batch.column(at).to_pylist(), coverage)]] = False
+            yield batch.filter(pa.array(clean))
 
     return df.mapInArrow(run, df.schema)

@@ -53,17 +53,17 @@ def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(blobs) + b"\n", dtype=np.uint8), np.cumsum(sizes) - sizes
 
 
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of anything but ASCII white space; ``buf`` ends with white space."""
-    filled = ~BLANK[buf]
+def word_spans(buf: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that aren't ``blank``; ``buf`` ends with a blank."""
+    filled = ~blank[buf]
     edge = np.flatnonzero(np.diff(filled, prepend=False))
     return edge[::2], edge[1::2]
 
 
-def word_hashes(texts: list[str | None], rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], rolling: Rolling, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, text after text; and how many words each text has."""
     buf, begin = joined(texts)
-    starts, ends = word_spans(buf)
+    starts, ends = word_spans(buf, blank)
     owner = np.searchsorted(begin, starts, side="right") - 1
     return rolling.runs(buf, starts, ends), np.bincount(owner, minlength=len(texts))
 
