@@ -25,9 +25,9 @@ from tessera.llm.textbytes import Rolling, blocks, joined, worker_state
 CAPACITY = 4096
 END_ID = 1
 #: Entries of the memo of a worker; beyond it the memo starts anew.
-MEMO = 1_500_000
+MEMO = 1_000_000
 #: Characters that are cut into parts at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 # ---------------------------------------------------------------- tokens

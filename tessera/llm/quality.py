@@ -21,7 +21,7 @@ SAMPLE = 4000
 THRESHOLD = 0.3
 FOLDS = 5
 #: Bytes of text that are turned into features at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _CLASS = np.full(256, 10, dtype=np.int64)  # 10: beyond ASCII
 _CLASS[:128] = 8  # 8: symbols
