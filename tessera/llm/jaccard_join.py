@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, mix64, partitions
 from tessera.llm.graph import components
 from tessera.llm.streams import grouped
-from tessera.llm.textbytes import Rolling, blocks, word_hashes, worker_state
+from tessera.llm.textbytes import Rolling, blocks, released, word_hashes, worker_state
 
 SHINGLE = 5
 #: Characters of text that are turned into signatures at once.
@@ -221,7 +221,7 @@ def signature_rows(docs: DataFrame, ranges: int) -> DataFrame:
                     columns = list(zip(*rows[at : at + 64], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["part", "sigs", "docs"])
 
-    return docs.select("doc", "text").mapInArrow(run, "part int, sigs binary, docs binary")
+    return docs.select("doc", "text").mapInArrow(lambda batches: released(run(batches)), "part int, sigs binary, docs binary")
 
 
 def _runs(batches):
@@ -364,7 +364,7 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
                 bitmaps = [sketch(h[e - k : e]) if k else None for e, k in zip(ends, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.start, len(n)), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(bitmaps, pa.binary())], names=["doc", "n", "key", "sketch"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n long, key binary, sketch binary")
+    return docs.select("doc", "text").mapInArrow(lambda batches: released(run(batches)), "doc long, n long, key binary, sketch binary")
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     texts = docs.join(reps.withColumnRenamed("rep", "doc"), "doc").select("key", "doc", "text")
     # several rows may share the id of a class's document; all of its texts are checked
     both = pairs.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
-    return both.select("ka", "ta", "kb", "tb").mapInArrow(_verify, "ka binary, kb binary").distinct()
+    return both.select("ka", "ta", "kb", "tb").mapInArrow(lambda batches: released(_verify(batches)), "ka binary, kb binary").distinct()
 
 
 def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -385,13 +385,13 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     total = table.agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(4, int(max(4 * partitions(spark), total // 1_000_000) - 1).bit_length())
     packed = signature_rows(docs, ranges).repartition(max(partitions(spark), 8), "part").sortWithinPartitions("part")
-    met = cut(packed.mapInArrow(_runs, "kind byte, x long, y long"))
+    met = cut(packed.mapInArrow(lambda batches: released(_runs(batches)), "kind byte, x long, y long"))
     involved = met.select(F.explode(F.when(F.col("kind") == 0, F.array("x", "y")).otherwise(F.array("y"))).alias("doc")).distinct()
     key_of = cut(table.where("key is not null").select("doc", "key", "n", "sketch").join(involved, "doc", "left_semi"))
     pairs = met.where("kind = 0").select("x", "y").distinct()
     left = key_of.select(F.col("doc").alias("x"), F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     right = key_of.select(F.col("doc").alias("y"), F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-    screened = pairs.join(left, "x").join(right, "y").where("k1 != k2").select("k1", "n1", "s1", "k2", "n2", "s2").mapInArrow(_screen, "ka binary, kb binary")
+    screened = pairs.join(left, "x").join(right, "y").where("k1 != k2").select("k1", "n1", "s1", "k2", "n2", "s2").mapInArrow(lambda batches: released(_screen(batches)), "ka binary, kb binary")
     screened = cut(screened.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct())
     links = cut(_checked(screened, classes, docs))
     roots = components(links, "ka", "kb")
@@ -405,7 +405,7 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     inside = inside.select("run", F.least("side", "other").alias("ta"), F.greatest("side", "other").alias("tb"), "side", "key", "comp", "n", "sketch")
     tiles = inside.repartition(max(partitions(spark), 8), "run", "ta", "tb").sortWithinPartitions("run", "ta", "tb")
-    more = tiles.mapInArrow(_cross, "ka binary, kb binary").distinct().join(screened, ["ka", "kb"], "left_anti")
+    more = tiles.mapInArrow(lambda batches: released(_cross(batches)), "ka binary, kb binary").distinct().join(screened, ["ka", "kb"], "left_anti")
     more = cut(more)
     if more.limit(1).count():
         roots = components(links.union(_checked(more, classes, docs)), "ka", "kb")

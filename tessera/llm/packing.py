@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
-from tessera.llm.textbytes import Rolling, blocks, joined, worker_state
+from tessera.llm.textbytes import Rolling, blocks, joined, released, worker_state
 
 CAPACITY = 4096
 END_ID = 1
 #: Entries of the memo of a worker; beyond it the memo starts anew.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Characters that are cut into parts at once.
 BLOCK = 1_000_000
 
@@ -149,7 +149,7 @@ def piece_rows(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: st
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(tokenise, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(lambda batches: released(tokenise(batches)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---------------------------------------------------------------- the plan

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod
+from tessera.llm.textbytes import released
 
 PASSAGE = 64
 #: A bound on the labelled documents that the model is fitted on.
@@ -192,4 +193,4 @@ def score_quality(df: DataFrame, model: dict[str, np.ndarray], text: str = "text
                 part = batch.slice(start, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predict(model, part.column(at).to_pylist()))], names=[*names, column])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{column}` double"]))
+    return df.mapInArrow(lambda batches: released(run(batches)), ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{column}` double"]))

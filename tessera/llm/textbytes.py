@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm.common import mix64
 
@@ -25,24 +27,46 @@ def worker_state(name: str, make: Callable):
     return store[name]
 
 
+def released(batches):
+    """``batches``, and then the worker's unused memory goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
+class _Powers:
+    """Powers of one odd ratio and of its inverse, as far as they were needed."""
+
+    RATIO = 0x5851F42D4C957F2D
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            ratios = self.RATIO, pow(self.RATIO, -1, 1 << 64)
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(r), dtype=np.uint64))]) for r in ratios)
+
+
 class Rolling:
     """64-bit polynomial hashes of byte runs; each byte value counts as a random number, A-Z as a-z."""
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)[FOLD]
-        self.ratio = int(rng.integers(1 << 60, 1 << 62)) * 2 + 1
-        self.inverse = pow(self.ratio, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)[FOLD]
 
     def runs(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(buf)
+        powers = worker_state("powers", _Powers)
+        powers.grow(n)
         with np.errstate(over="ignore"):
-            if len(self.up) < n:
-                self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, np.uint64(r), dtype=np.uint64))]) for r in (self.ratio, self.inverse))
             sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(self.values[buf] * self.up[:n], out=sums[1:])
-            h = (sums[ends] - sums[starts]) * self.down[starts]
+            np.cumsum(self.values[buf] * powers.up[:n], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * powers.down[starts]
             return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
