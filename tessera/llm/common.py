@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -29,7 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()  # what earlier steps shuffled goes from the disks as soon as nothing refers to it
+    context._jvm.System.gc()
+    return done
 
 
 def partitions(spark: SparkSession) -> int:

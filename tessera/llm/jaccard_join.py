@@ -82,8 +82,8 @@ def _sum64(cell: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Four to eight bits for each of ``n`` elements."""
-    return max(64, 4 << int(n - 1).bit_length()) if n else 64
+    """Eight to sixteen bits for each of ``n`` elements."""
+    return max(64, 8 << int(n - 1).bit_length()) if n else 64
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -408,7 +408,7 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     more = tiles.mapInArrow(lambda batches: released(_cross(batches)), "ka binary, kb binary").distinct().join(screened, ["ka", "kb"], "left_anti")
     more = cut(more)
     if more.limit(1).count():
-        roots = components(links.union(_checked(more, classes, docs)), "ka", "kb")
+        roots = components(roots.select(F.col("node").alias("ka"), F.col("root").alias("kb")).union(_checked(more, classes, docs)), "ka", "kb")
     return table, roots
 
 
