@@ -153,7 +153,9 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     plain = min([-FLOOR, *(v for k, v in weight.items() if "~" not in k and k != "word")], default=-1.0) / 2
     best = total = 0.0
     start = first = last = 0
-    for i, (kind, tag, text, aside, _) in enumerate(rows):
+    for i, (kind, tag, text, aside, inside) in enumerate(rows):
+        if aside and inside:  # an advert amid an article doesn't end it
+            continue
         if kind == "text":
             total += weight["word~" if aside else "word"] * len(text.split())
         elif tag not in CONTENT:
