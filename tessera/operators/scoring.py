@@ -29,16 +29,20 @@ class Profile:
     general: frozenset[str] = field(default_factory=frozenset)
 
 
-def score(title: Column, description: Column, remote: Column, profile: Profile, region_ok: Column | None = None) -> Column:
-    """struct<score:int, track:string, reason:string, disqualified:boolean>.
+def lowered(title: Column, description: Column) -> tuple[Column, Column]:
+    """What the scorer reads: the title, and title and description, in lower case."""
+    return F.lower(title), F.lower(F.concat(title, F.lit("\n"), F.coalesce(description, F.lit(""))))
 
+
+def score(low: Column, text: Column, remote: Column, profile: Profile, region_ok: Column | None = None) -> Column:
+    """struct<score:int, track:string, reason:string, disqualified:boolean>; ``low`` and ``text`` as from lowered().
+
+    Give both as columns of their own, so that they are computed once a row.
     Gates look at the title alone, in order; then each track scores 40 a title
     hit and 5 a body hit (five at most), body-only tracks at most 22, 8 for
     remote, at most 100, and 8 up or down by seniority words. The best score
     wins, of equal ones a title match, then the earlier track.
     """
-    low = F.lower(title)
-    text = F.lower(F.concat(title, F.lit("\n"), F.coalesce(description, F.lit(""))))
     shape = "struct<score:int,matched:int,place:int,track:string,reason:string>"
     adjust = F.when(F.size(count_hits(low, profile.boost)) > 0, 8).otherwise(0) - F.when(F.size(count_hits(low, profile.avoid)) > 0, 8).otherwise(0)
     found = []

@@ -106,7 +106,9 @@ WITH d AS (
 
 def _scored(spark, sf_dir):
     docs = _titled(read(spark, sf_dir, "documents"))
-    return docs.select("doc_id", scoring.score(F.col("title"), F.col("body"), F.col("remote"), PROFILE).alias("s")).select("doc_id", "s.*")
+    low, whole = scoring.lowered(F.col("title"), F.col("body"))
+    docs = docs.select("doc_id", "remote", low.alias("low"), whole.alias("whole"))
+    return docs.select("doc_id", scoring.score(F.col("low"), F.col("whole"), F.col("remote"), PROFILE).alias("s")).select("doc_id", "s.*")
 
 
 @query(_SCORED + "SELECT doc_id, score, track, reason, score = 0 AS disqualified FROM scored")
