@@ -93,10 +93,10 @@ def postings(pages: DataFrame, board: Board, moment: Callable[[Column], Column]
         F.coalesce("location", F.lit("")).alias("location"), F.coalesce("remote", F.lit(False)).alias("remote"), F.nullif("work_mode", F.lit("")).alias("work_mode"),
         F.nullif("salary_text", F.lit("")).alias("salary_text"), shown.alias("description"), moment(F.col("posted_at")).alias("posted_at"), "visa", "pos",
     )
-    return _kept(out, board.keep)
+    return kept(out, board.keep)
 
 
-def _kept(out: DataFrame, keep: str) -> DataFrame:
+def kept(out: DataFrame, keep: str) -> DataFrame:
     if keep == "all":
         return out
     if keep == "merge":
