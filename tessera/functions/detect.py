@@ -140,7 +140,7 @@ def language_requirements(text: Column, patterns: dict[str, str] | None = None,
     text, codes = _text(text), []
     for code, pattern in (patterns or LANGUAGES).items():
         found = F.regexp_extract(text, _ANY_CASE + "(?:" + pattern + ")", 0)
-        at = F.locate(found, text)
+        at = F.position(found, text)
         before = F.substring(text, F.greatest(at - HEDGE_REACH, F.lit(1)), F.least(at - 1, F.lit(HEDGE_REACH)))
         near = F.concat(before, F.substring(text, at, F.length(found) + HEDGE_REACH))
         codes.append(F.when((found != "") & ~near.rlike(_ANY_CASE + hedge), F.lit(code)))
@@ -224,8 +224,8 @@ def names_match(a: Column, b: Column) -> Column:
 
 
 def titled_token(token: Column) -> Column:
-    """A board's token as a name: hyphens and underscores to spaces, each word's first letter in upper case."""
-    words = F.filter(F.split(token, "[-_ ]+"), lambda w: w != "")
+    """A board's token as a name: what stands before ``@``, separators to spaces, each word's first letter in upper case."""
+    words = F.filter(F.split(F.substring_index(token, "@", 1), "[-_. ]+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
 
 
