@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset, as in tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        named = context.getCheckpointDir()
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its rows and their order kept in the folder that ``spark.checkpoint.dir`` names."""
+    """``df`` computed once, its rows and their order kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

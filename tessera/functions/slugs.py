@@ -103,13 +103,18 @@ def board_of(url: Column, patterns: tuple[Pattern, ...] = PATTERNS) -> Column:
     host = F.lower(F.regexp_extract(bare, r"^(?i:https?)://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
     path = F.regexp_extract(bare, r"^[^:]+://[^/?]*([^?]*)", 1)
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    region = F.regexp_extract(host, r"\.(eu)\.", 1)
-    hits = []
-    for p in patterns:
-        token = F.lower(_decoded(_raw_token(p, host, path, query)))
-        entry = F.struct(F.lit(p.platform).alias("platform"), token.alias("token"), region.alias("region"), host.alias("host"))
-        hits.append(F.when(token.rlike(p.rule) & ~token.rlike(r"^v\d+$"), entry))
-    return F.when(host != "", F.coalesce(*hits))
+    parts = F.struct(host.alias("host"), path.alias("path"), query.alias("query"))
+
+    def first_hit(u: Column) -> Column:
+        hits = []
+        for p in patterns:
+            token = F.lower(_decoded(_raw_token(p, u["host"], u["path"], u["query"])))
+            entry = F.struct(F.lit(p.platform).alias("platform"), token.alias("token"), F.regexp_extract(u["host"], r"\.(eu)\.", 1).alias("region"), u["host"].alias("host"))
+            hits.append(F.when(token.rlike(p.rule) & ~token.rlike(r"^v\d+$"), entry))
+        return F.when(u["host"] != "", F.coalesce(*hits))
+
+    # in a lambda the URL's parts are computed once, not once a pattern
+    return F.get(F.transform(F.array(parts), first_hit), F.lit(0))
 
 
 def smells_like_board(host: Column) -> Column:

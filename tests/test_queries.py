@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import registry
+from tessera.plans import postings, registry  # noqa: F401  (postings registers its queries)
 
 SMALL = "/root/testdata/sf0.001"
 
