@@ -160,7 +160,7 @@ def _decide(border: dict[int, tuple], min_documents: int):
                 n[0] += count - (last_doc == doc[0])
                 if held and n[0] >= min_documents:
                     gone, held = held, []
-            else:
+            if key != first_key or len(at) > 1:  # the hash they waited for is over
                 held = []
             run_of = np.cumsum(new) - 1
             key, count, owner, last_doc = (int(h1[-1]), int(h2[-1])), int(n[-1]), owners[-1], doc[-1]
@@ -171,7 +171,7 @@ def _decide(border: dict[int, tuple], min_documents: int):
                 gone.append((doc[sure], rid[sure], pos[sure]))
             waits = loses & open_rows & ~sure
             if waits.any():
-                held = [*held, (doc[waits], rid[waits], pos[waits])] if len(at) == 1 else [(doc[waits], rid[waits], pos[waits])]
+                held = [*held, (doc[waits], rid[waits], pos[waits])]
             if gone:
                 yield out(gone)
         if held and count + after >= min_documents:

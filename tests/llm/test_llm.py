@@ -176,6 +176,28 @@ def test_line_dedup(spark):
         assert got[k]["n_dropped"] == len((t or "").split("\n")) - len(kept)
 
 
+def test_line_dedup_over_small_batches(spark):
+    """Rows that wait for a hash's count are forgotten with it, though the batch's last hash has none that wait."""
+    rng = random.Random(9)
+    rows = {k: [] for k in range(40)}
+    for i in range(300):
+        for k in rng.sample(range(40), rng.choice([2, 3, 4, 5, 6, 9, 14])):
+            rows[k].append(f"line number {i} " + "padding " * 5)
+    holders = {}
+    for k, lines in rows.items():
+        for s in lines:
+            holders.setdefault(s, set()).add(k)
+    gone = {s: max(h) for s, h in holders.items() if len(h) >= 5}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(k, "\n".join(x)) for k, x in rows.items()])).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {k: "\n".join(s for s in lines if gone.get(s, k) == k) for k, lines in rows.items()}
+
+
 def test_html():
     weight = html_text.weights(*html_text.count("<nav><a>x</a></nav><article><h1>T</h1><p>one two</p></article><footer>f</footer>"))
     page = '<title>t</title><div class="menu"><a>m</a></div><article><h1>A &amp; B</h1><p>one\n <b>t</b>wo<br>three<script>var x="</p>"</script></p><div class="ad">buy</div><p>four</p></article><section class="comments"><p>nice read</p></section><footer>foot</footer>'
