@@ -350,7 +350,9 @@ def _cross(batches):
 
 
 def shingle_classes(docs: DataFrame) -> DataFrame:
-    """(doc, n, key, sketch) of each document: set size, set key (null for the empty set), bitmap."""
+    """(doc, n, key, sketch) of each document: set size, set key (null for the empty set), bitmap; other columns follow."""
+    others = [c for c in docs.columns if c not in ("doc", "text")]
+    types = dict(docs.dtypes)
 
     def run(batches):
         for batch in batches:
@@ -362,9 +364,9 @@ def shingle_classes(docs: DataFrame) -> DataFrame:
                 both = np.stack([a, b], axis=1)
                 keys = [both[i].tobytes() if n[i] else None for i in range(len(n))]
                 bitmaps = [sketch(h[e - k : e]) if k else None for e, k in zip(ends, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.start, len(n)), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(bitmaps, pa.binary())], names=["doc", "n", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.start, len(n)), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(bitmaps, pa.binary()), *(c.slice(piece.start, len(n)) for c in batch.columns[2:])], names=["doc", "n", "key", "sketch", *others])
 
-    return docs.select("doc", "text").mapInArrow(lambda batches: released(run(batches)), "doc long, n long, key binary, sketch binary")
+    return docs.select("doc", "text", *others).mapInArrow(lambda batches: released(run(batches)), ", ".join(["doc long, n long, key binary, sketch binary", *(f"{c} {types[c]}" for c in others)]))
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -378,7 +380,7 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(table of documents, (node, root) of linked set keys). docs: doc, text, with no null in doc."""
+    """(table of documents, (node, root) of linked set keys). docs: doc, text, with no null in doc, and columns that the table keeps."""
     spark = docs.sparkSession
     table = cut(shingle_classes(docs))
     classes = table.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"))
@@ -434,19 +436,26 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with one row of each group: the one of the smallest id, of rows with equal ids and texts the first; all columns stay.
+    """``df`` with one row of each group: the one of the smallest id, null ids last, and of rows with equal ids that of the smallest text hash; all columns stay.
 
-    Documents with the empty set all stay.
+    Rows are compared whatever their ids: those with null ids or of one id
+    with different texts link like any others. Of rows with equal ids and
+    texts any one stays. Documents with the empty set all stay.
     """
     names = df.columns
-    found = jaccard_components(df, key, text).where("n_shingles > 0 and doc_id is not null")
-    goes = found.where("doc_id != component_id").select(F.col("doc_id").alias("id__")).distinct()
-    left = df.join(goes, F.col(key) == F.col("id__"), "left_anti")
-    twice = left.groupBy(key).count().where("count > 1").limit(1).count()
-    if not twice:
-        return left.select(*(F.col(f"`{c}`") for c in names))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(key, F.xxhash64(F.col(text))).orderBy(F.lit(0))
-    ranked = left.withColumn("rank__", F.row_number().over(order))
-    return ranked.where((F.col("rank__") == 1) | F.col(key).isNull() | (F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0)).select(*(F.col(f"`{c}`") for c in names))
+    number, mark = F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))
+    docs = df.select(number.alias("id"), mark.alias("mark"), F.col(text).cast("string").alias("text"))
+    repeated = docs.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count()
+    own = F.xxhash64("id", "mark")  # rows that share an id need names of their own to be compared; ids pack better
+    table, roots = link_classes(docs.withColumn("doc", own if repeated else F.coalesce("id", own)))
+    filled = table.where("key is not null")
+    named = filled.join(roots, F.col("key") == F.col("node"), "left").select("id", "mark", F.coalesce("root", "key").alias("comp"))
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first"))
+    goes = named.join(first, "comp").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))))
+    goes = goes.select(F.col("id").alias("id__"), F.col("mark").alias("mark__")).distinct()
+    same = number.eqNullSafe(F.col("id__")) & (mark == F.col("mark__"))
+    left = df.join(goes, same, "left_anti").select(*(F.col(f"`{c}`") for c in names))
+    twice = filled.groupBy("id", "mark").count().where("count > 1").select(F.col("id").alias("id__"), F.col("mark").alias("mark__"))
+    if not twice.limit(1).count():
+        return left
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates([key, text]))

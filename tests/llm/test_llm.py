@@ -66,6 +66,31 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcdefg"]
+    a, b, c, d, e, f, g = (" ".join(x) for x in words)
+    near = lambda i: " ".join([*words[i], "tail"])
+    groups = [
+        [(3, a), (4, a), (None, a), (None, near(0)), (5, near(0))],  # 3 stays
+        [(5, b)],  # its id's other text goes, this doesn't
+        [(None, c)] * 20,  # one of the copies stays
+        [(6, e), (6, near(4)), (6, e), (6, e.upper())],  # one of an id's copies stays
+        [(8, f), (8, f)],
+        [(9, g)],
+    ]
+    empty = [(10, "\n\t"), (10, "\n\t"), (None, None), (None, None), (11, "")]
+    lone = [(None, d)]
+    nulls = [groups[0][:4], groups[2], groups[5]]
+    for chosen in (groups, nulls):  # with repeated ids; with null ids alone
+        rows = [r for x in [*chosen, lone] for r in x] + (empty if chosen is groups else empty[2:])
+        got = [tuple(r) for r in jaccard_join.keep_one(docs(spark, rows)).collect()]
+        assert sorted(map(repr, (r for r in got if not (r[1] or "").strip()))) == sorted(map(repr, (r for r in rows if not (r[1] or "").strip())))
+        for group in [*chosen, lone]:
+            kept = [r for r in got if r in group]
+            low = min((r[0] for r in group if r[0] is not None), default=None)
+            assert len(kept) == 1 and kept[0][0] == low
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
