@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -25,17 +26,25 @@ TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-NAMED = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 # HTML's void elements, its elements inside a line, and its sections that are not content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
 ASIDE = frozenset("nav footer aside form button dialog menu head title object audio video canvas input option datalist".split())
-#: Words in class, id or role of an element that is no content.
+#: Words in class, id or role of an element that is no content: a name of them and of NEUTRAL ones, so not has-sidebar, comments-open or share-enabled.
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs footer foot masthead topbar sidebar sidebars side rail aside widget widgets notice notices alert alerts cookie cookies consent gdpr popup modal overlay toast newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus discussion reply replies responses respond related recommended recommendations pagination pager toolbar complementary contentinfo skip paywall outbrain taboola".split()
 )
+#: Parts of a name that leave its meaning as it is.
+NEUTRAL = frozenset(
+    "site page post posts blog global primary secondary tertiary top bottom left right main inner outer box block list lists item items area section sections container wrapper wrap group holder slot slots unit units zone space bar row column col panel module region text title label link links icon icons button buttons btn btns form input message messages articles stories story news google gpt dfp id div js desktop mobile large small image img".split()
+)
+#: Inside a content element these may name the author's own text.
+AUTHORS = frozenset("notice notices alert alerts discussion side aside response responses reply replies respond skip".split())
+#: There an id or label of these is the author's own.
+ANCHORED = frozenset("section p h1 h2 h3 h4 h5 h6 li dt dd tr td th figure blockquote pre a span".split())
 #: Whole class or id words of a page's head, where no content element is open.
 HEADS = frozenset("header site-header page-header top-header main-header siteheader".split())
 CONTENT = frozenset(("article", "main"))
@@ -52,48 +61,83 @@ def tokens(page: str):
             yield ("close" if m["close"] else "open"), tag, m["rest"]
 
 
+def is_named(tag: str, rest: str, inside_content: bool) -> bool:
+    """Whether a word of its names says that an element is no content."""
+    for m in NAMED.finditer(rest):
+        if inside_content and m[1].lower() in ("id", "aria-label") and tag in ANCHORED:
+            continue
+        value = m[2] or m[3] or m[4] or ""
+        for word in value.split():
+            parts = {x.lower() for x in NAME_PART.findall(word)}
+            asides = parts & ASIDE_NAMES
+            if asides and not (inside_content and asides <= AUTHORS) and all(x in NEUTRAL or len(x) == 1 for x in parts - asides):
+                return True
+        if not inside_content and HEADS & set(value.lower().split()):
+            return True
+    return False
+
+
 def is_aside(tag: str, rest: str, inside_content: bool) -> bool:
     if tag in ASIDE or tag == "header" and not inside_content:
         return True
     if tag in CONTENT or tag in ("html", "body") or not rest:
         return False
-    if HIDDEN.search(rest):
-        return True
-    for m in NAMED.finditer(rest):
-        if any(x.lower() in ASIDE_NAMES for x in NAME_PART.findall(m[1] or m[2] or m[3] or "")):
-            return True
-        if not inside_content and HEADS & set((m[1] or m[2] or m[3] or "").lower().split()):
-            return True
-    return False
+    return bool(HIDDEN.search(rest)) or is_named(tag, rest, inside_content)
 
 
 def items(page: str):
-    """Tokens with what is around them: (kind, tag, text, aside, inside). kind: tag or text."""
-    masked, depth, inside = None, 0, 0  # masked: the tag whose end ends an aside
-    for kind, tag, value in tokens(page):
+    """Tokens with what is around them: (kind, tag, text, aside, inside). kind: tag or text.
+
+    An aside that holds ``<main>`` isn't masked, and none that holds an
+    article where no content element of the page stands outside of asides.
+    """
+    found = list(tokens(page))
+    ends, stacks, stops = {}, {}, []  # ends: of each open tag; stops: tokens that end whatever is open
+    for i, (kind, tag, _) in enumerate(found):
+        if kind == "open" and tag not in VOID:
+            stacks.setdefault(tag, []).append(i)
+        elif kind == "close":
+            if stacks.get(tag):
+                ends[stacks[tag].pop()] = i
+                if tag == "body":
+                    stops.append(i)
+            elif tag == "body" or tag in CONTENT:
+                stops.append(i)
+    mains = [i for i, (kind, tag, _) in enumerate(found) if kind == "open" and tag == "main"]
+    marks = [i for i, (kind, tag, rest) in enumerate(found) if kind == "open" and tag in CONTENT and not is_named(tag, rest, False)]
+    rows, outside = _masked(found, ends, stops, mains)
+    if marks and not outside:
+        rows, _ = _masked(found, ends, stops, sorted({*mains, *marks}))
+    return rows
+
+
+def _masked(found: list, ends: dict, stops: list, marks: list) -> tuple[list, bool]:
+    """The items, and whether a content element stands outside of asides, which aren't masked where they hold one of ``marks``."""
+    rows, outside, until = [], False, -1  # until: the token that ends an aside
+    inside, parents = 0, []  # parents: where the content elements around end
+    for i, (kind, tag, value) in enumerate(found):
         if kind == "text":
-            yield "text", tag, value, masked is not None, inside > 0
+            rows.append(("text", tag, value, i <= until, inside > 0))
             continue
-        if masked is not None:
-            if tag == masked and tag not in VOID:
-                depth += 1 if kind == "open" else -1
-                if depth == 0:
-                    masked = None
-            elif kind == "close" and (tag == "body" or tag in CONTENT):  # an aside that its parent closes
-                masked = None
-            if masked is not None or kind == "close":
-                if tag in CONTENT and kind == "close":
-                    inside = max(0, inside - 1)
-                yield "tag", tag, "", True, inside > 0
-                continue
-        elif kind == "open" and is_aside(tag, value, inside > 0):
+        aside = i <= until
+        if not aside and kind == "open" and is_aside(tag, value, inside > 0):
+            end = i
             if tag not in VOID and not value.rstrip().endswith("/"):
-                masked, depth = tag, 1
-            yield "tag", tag, "", True, inside > 0
-            continue
-        if tag in CONTENT:
-            inside = inside + 1 if kind == "open" else max(0, inside - 1)
-        yield "tag", tag, "", False, inside > 0
+                at = bisect_right(stops, i)
+                end = min([ends.get(i, len(found)), *stops[at : at + 1], *parents[-1:]])
+            at = bisect_right(marks, i)
+            if at == len(marks) or marks[at] > end:
+                aside, until = True, end
+        if tag in CONTENT and (not aside or kind == "close" and i == until):
+            if kind == "open":
+                outside = True
+                inside += 1
+                parents.append(min(ends.get(i, len(found)), *parents[-1:], len(found)))
+            else:
+                inside = max(0, inside - 1)
+                parents = parents[:-1]
+        rows.append(("tag", tag, "", aside, inside > 0))
+    return rows, outside
 
 
 def feature(tag: str, aside: bool) -> str:

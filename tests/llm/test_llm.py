@@ -230,6 +230,26 @@ def test_html():
     assert html_text.main_text(None, weight) == html_text.main_text("", weight) == ""
 
 
+def html_weight():
+    return html_text.weights(*html_text.count("<nav><a>x</a></nav><div class='ad'>buy this</div><article><h1>T</h1><p>one two</p></article><footer>f</footer>"))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "comments-open", "share-enabled", "hasSidebar", "sidebar", "related"])
+def test_html_wrappers_of_the_content_are_not_asides(name):
+    for tag in ("article", "main"):
+        page = f'<nav><a>m</a></nav><div class="{name}"><{tag}><h1>A</h1><p>one two</p><div class="ad">buy</div><p>three</p></{tag}></div><footer>f</footer>'
+        assert html_text.main_text(page, html_weight()) == "A one two three"
+    if "-" in name:
+        assert html_text.main_text(f'<nav><a>m</a></nav><div class="{name}"><h1>A</h1><p>one two</p></div>', html_weight()) == "A one two"
+
+
+def test_html_asides_of_a_marked_page():
+    own = '<article><section id="discussion"><p>one</p></section><p class="notice">two</p><h2 id="related">three</h2></article>'
+    junk = '<div class="sidebar-left"><article>teaser</article></div><section class="comments"><article>x</article><article>y</article>z</section><div class="cookie-banner">cookies</div>'
+    assert html_text.main_text(junk + own + junk, html_weight()) == "one two three"
+    assert html_text.main_text(own.replace("</article>", '<div class="comments"><article>nice</article> read</div><p>four</p></article>'), html_weight()) == "one two three four"
+
+
 def test_models_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r for r in queries.table(spark, sf, "labels").collect()}
