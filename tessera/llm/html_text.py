@@ -5,7 +5,7 @@ contiguous run with the largest sum is the content; Kadane's linear scan finds
 it. The weights are log-odds counted on labelled pages: pages that mark their
 own content with one ``<article>`` or ``<main>`` element say of each token
 whether it is inside. Those two tags are never features, so the weights carry
-over to pages without them.
+over to pages without them; there, asides have no score at all.
 """
 
 from __future__ import annotations
@@ -195,10 +195,11 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     """The text of the best run: references decoded, white space within a block as one space, blocks joined by one space."""
     rows = list(items(page or ""))
     plain = min([-FLOOR, *(v for k, v in weight.items() if "~" not in k and k != "word")], default=-1.0) / 2
+    marked = any(inside for *_, inside in rows)
     best = total = 0.0
     start = first = last = 0
     for i, (kind, tag, text, aside, inside) in enumerate(rows):
-        if aside and inside:  # an advert amid an article doesn't end it
+        if aside and (inside or not marked):  # an advert amid the text doesn't end it; without a content element it may be anywhere
             continue
         if kind == "text":
             total += weight["word~" if aside else "word"] * len(text.split())

@@ -250,6 +250,15 @@ def test_html_asides_of_a_marked_page():
     assert html_text.main_text(own.replace("</article>", '<div class="comments"><article>nice</article> read</div><p>four</p></article>'), html_weight()) == "one two three four"
 
 
+def test_html_adverts_on_a_page_without_a_content_element():
+    lead, rest = "<p>one two</p>", "<p>" + "more text " * 30 + "</p>"
+    advert = '<div class="ad"><ul><li>' + "<a>buy this</a> " * 50 + "</li></ul></div><form>sign <b>up</b> here</form>"
+    for text in (lead + advert + rest, rest + advert + lead, lead + advert * 3 + lead + advert + rest):
+        page = f"<html><head><title>t</title></head><body><nav><a>m</a></nav><div>{text}</div><footer>foot</footer></body></html>"
+        plain = page.replace(advert, "")
+        assert html_text.main_text(page, html_weight()) == html_text.main_text(plain, html_weight()) == " ".join(text.replace(advert, "").replace("<p>", " ").replace("</p>", " ").split())
+
+
 def test_models_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r for r in queries.table(spark, sf, "labels").collect()}
