@@ -156,7 +156,7 @@ def piece_rows(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: st
 
 
 def price(values: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable configuration by dynamic programming: {index of length: copies}."""
+    """The most valuable configuration by dynamic programming, cut to the counts ``left`` and filled up by what is left: {index of length: copies}."""
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1, dtype=np.int64)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
@@ -177,7 +177,16 @@ def price(values: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: i
             continue
         found[at] = found.get(at, 0) + 1
         room -= int(lengths[at])
-    return {at: min(n, int(left[at])) for at, n in found.items() if left[at] > 0}
+    mix = {at: min(n, int(left[at])) for at, n in found.items()}
+    rest = left.copy()
+    for at, n in mix.items():
+        rest[at] -= n
+    room = capacity - sum(int(lengths[at]) * n for at, n in mix.items())
+    open_ = np.flatnonzero((rest > 0) & (lengths <= room))
+    if len(open_):  # the counts left room
+        for at, n in price(values[open_], lengths[open_], rest[open_], room).items():
+            mix[int(open_[at])] = mix.get(int(open_[at]), 0) + n
+    return mix
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, open_bins: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
@@ -224,7 +233,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 240, ra
     weight falls by a factor exp(-rate * excess) as its coverage runs ahead of
     the mean coverage. Each round prices one configuration and uses it as far
     as the counts allow, up to an even share of the lower bound. The result is
-    whole-numbered by rounding down; the rest is placed by best fit.
+    whole-numbered by rounding down; the rest is placed by best fit, in the
+    room of the configurations first. All rounds run at every size; where best
+    fit alone needs fewer sequences, its plan is taken.
     """
     lengths = np.array(sorted(counts), dtype=np.int64)
     if not len(lengths):
@@ -235,21 +246,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 240, ra
     covered, step = np.zeros(len(lengths)), max(1, bound // rounds)
     for _ in range(rounds):
         alive = np.flatnonzero(left)
-        if not len(alive) or bound < 64:
+        if not len(alive):
             break
         mean = float((covered[alive] * lengths[alive]).sum() / lengths[alive].sum())
         weight = (lengths / capacity) * np.exp(-rate * np.clip(covered - mean, -0.5, 0.5))
         found = price(weight[alive], lengths[alive], left[alive], capacity)
         mix = {int(alive[at]): n for at, n in found.items()}
         times = min(step, *(int(left[i]) // n for i, n in mix.items()))
-        if times < 1 or sum(int(lengths[i]) * n for i, n in mix.items()) < 0.97 * capacity:
-            continue
         for i, n in mix.items():
             left[i] -= n * times
             covered[i] = 1 - left[i] / total[i]
         used.append(({int(lengths[i]): n for i, n in mix.items()}, times))
     rest = left > 0
-    return best_fit(lengths[rest], left[rest], capacity, used)
+    plans = [best_fit(lengths[rest], left[rest], capacity, used), best_fit(lengths, total, capacity, [])]
+    return min(plans, key=lambda bins: sum(n for _, n in bins))
 
 
 def intervals(bins: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

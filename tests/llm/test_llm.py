@@ -156,6 +156,19 @@ def test_packing_is_close_to_the_bound():
     assert sum(n for _, n in bins) <= 1.003 * sum(k * v for k, v in counts.items()) / 4096 + 1
 
 
+@pytest.mark.parametrize("counts, most", [({1366: 50, 1365: 40, 1370: 30}, 50), ({2048: 21, 1400: 30, 1300: 30, 700: 20, 676: 18}, 38)])
+def test_packing_plans_small_tables_too(counts, most):
+    bins = packing.plan(counts)
+    placed = {}
+    for mix, n in bins:
+        assert sum(k * c for k, c in mix.items()) <= 4096
+        for k, c in mix.items():
+            placed[k] = placed.get(k, 0) + c * n
+    alone = packing.best_fit(np.array(sorted(counts)), np.array([counts[k] for k in sorted(counts)]), 4096, [])
+    assert placed == counts
+    assert sum(n for _, n in bins) <= most < sum(n for _, n in alone)
+
+
 def test_decontamination(spark):
     words = [f"w{i}" for i in range(400)]
     item = " ".join(words[:20])
