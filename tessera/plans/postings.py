@@ -85,7 +85,7 @@ def company_slugs(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'c' || c_nationkey END AS country FROM customer")
 def resolve_country(spark, sf_dir):
     places = {f"nation_{i}": f"c{i}" for i in range(25)}
-    named = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     location = F.when(F.col("c_custkey") % 5 == 0, "Remote").otherwise(F.concat(F.lit("Some City ("), "c_mktsegment", F.lit("), "), "n_name"))
     return named.select("c_custkey", detect.country_of(location, places, []).alias("country"))
 

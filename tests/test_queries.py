@@ -32,3 +32,9 @@ def test_same_rows_as_sql(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_resolve_country_keeps_customers_of_many_nations(spark, tmp_path):
+    spark.range(1500).selectExpr("id AS n_nationkey", "concat('NATION_', id % 25) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(1500).selectExpr("id AS c_custkey", "id AS c_nationkey", "'X' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    assert registry.queries()["resolve_country"](spark, str(tmp_path)).count() == 1500
