@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontamination, jaccard_join, line_dedup, packing, quality
 from tessera.llm.queries import table, vocabulary_path
 
-#: Some stages learn from data, so no SQL gives run()'s rows; a brute-force version in the tests does.
+#: Some stages learn from data, so no SQL gives run()'s rows; the tests have no brute-force version of it either.
 ORACLE_SQL = None
 
 

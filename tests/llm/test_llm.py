@@ -315,3 +315,19 @@ def test_pipeline_stages_take_effect(spark):
     ids = {r["doc_id"] for r in frame.select("doc_id").collect()}
     packed = corpus_pipeline.pack(spark, frame, SMALL)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        path = f"{SMALL}/{table}.parquet"
+        con.sql(f"create view {table} as select * from read_parquet('{path}{'/*.parquet' if os.path.isdir(path) else ''}')")
+    df = queries.queries()[name](spark, SMALL)
+    want = con.sql(queries.oracle_sql()[name])
+    rows = [tuple(r[want.columns.index(c)] for c in df.columns) for r in want.fetchall()]
+    assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, rows))
