@@ -331,3 +331,10 @@ def test_same_rows_as_sql(spark, name):
     want = con.sql(queries.oracle_sql()[name])
     rows = [tuple(r[want.columns.index(c)] for c in df.columns) for r in want.fetchall()]
     assert sorted(map(repr, (tuple(r) for r in df.collect()))) == sorted(map(repr, rows))
+
+
+def test_toxicity_finds_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    toxic = {r["doc_id"]: r["is_toxic"] for r in queries.op7_toxicity(spark, sf).collect()}
+    held = [r["doc_id"] for r in queries.table(spark, sf, "labels").collect() if r["toxic"] and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert held and np.mean([toxic[k] for k in held]) > 0.8
