@@ -17,25 +17,51 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that setting is missing (tests on one machine) a temporary folder
-    is made. Partitioning and row order inside a partition are kept, and lost
-    executors only cause a re-read of the files.
-    """
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, one of our own, but only on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder.
+
+    Partitioning and row order inside a partition are kept, and lost executors
+    only cause a re-read of the files.
+    """
+    shared_folder(df.sparkSession)
     done = df.checkpoint(eager=True)
     gc.collect()  # what earlier steps shuffled goes from the disks as soon as nothing refers to it
-    context._jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return done
 
 
+def let_go(*frames: DataFrame) -> None:
+    """Deletes the files of ``cut`` frames that nothing reads any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(taken, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``taken`` has it, in any case of its letters."""
+    taken, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -4,9 +4,10 @@ Pieces of equal length are interchangeable, so the whole problem is the
 histogram of lengths: at most ``capacity`` numbers, whatever the input. The
 driver solves the configuration LP over that histogram (a configuration is a
 multiset of lengths that fits into one sequence) by multiplicative weights,
-prices configurations with an unbounded-knapsack dynamic program, rounds the
-fractions down and places what is left by best fit, in bulk. The executors
-then only look up the place of the k-th piece of each length.
+prices configurations with a bounded knapsack's dynamic program over lengths
+drawn by their weights, rounds each step down to whole sequences and places
+the last tenth of the tokens by best fit, in bulk. The executors then only
+look up the place of the k-th piece of each length.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, free
 from tessera.llm.textbytes import Rolling, blocks, joined, released, worker_state
 
 CAPACITY = 4096
@@ -41,6 +42,10 @@ _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = 2
 _KIND[48:58] = 3
 
 
+#: Texts that tell whether a vocabulary encodes parts like wholes.
+PROBES = ("a b  c\td\ne\r\nf", "one,two;three. (four) [five] - six_seven/eight!?", "x1 12 a12b 3.14 1,000", "don't 's 've it's '' 'a' \"b\"", "é1 naïve,ça 日本,語。 x…y ½7", "aaa...bbb --- ### $5 50% a@b.c", " lead and trail ")
+
+
 class WordIds:
     """Token ids of whole texts.
 
@@ -50,7 +55,8 @@ class WordIds:
     next to an apostrophe or a character beyond ASCII is not cut there. Each
     distinct part is encoded once and found again by two 64-bit hashes; where
     only one of them agrees, or a special token may be meant, the tokenizer
-    gets the whole text.
+    gets the whole text. A vocabulary that gives other ids for the parts of
+    PROBES than for the whole ones gets every text whole.
     """
 
     def __init__(self, path: str):
@@ -59,6 +65,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.one, self.two = Rolling(3), Rolling(4)
         self.clear()
+        self.by_parts = all(self._block([p, p.upper()]) == [self._whole(p), self._whole(p.upper())] for p in PROBES)
 
     def clear(self) -> None:
         self.h1 = self.h2 = np.zeros(0, dtype=np.uint64)
@@ -67,7 +74,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        parts = [i for i, t in enumerate(texts) if "<|" not in t]
+        parts = [i for i, t in enumerate(texts) if self.by_parts and "<|" not in t]
         for i in sorted({*range(len(texts))} - {*parts}):
             out[i] = self._whole(texts[i])
         plain = [texts[i] for i in parts]
@@ -155,38 +162,76 @@ def piece_rows(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, key: st
 # ---------------------------------------------------------------- the plan
 
 
-def price(values: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable configuration by dynamic programming, cut to the counts ``left`` and filled up by what is left: {index of length: copies}."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1, dtype=np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        k = upto[room]
-        best[room], last[room] = best[room - 1], -1
-        if k:
-            gains = best[room - lengths[:k]] + values[:k]
-            at = int(gains.argmax())
-            if gains[at] > best[room]:
-                best[room], last[room] = gains[at], at
-    found: dict[int, int] = {}
+#: Lengths that one pricing looks at, drawn by their weights; four times as many where these fill no sequence.
+PRICED = 32
+#: How much a weight may move a length's price: one part in so many.
+FIRM = 256
+#: The program is solved until so much of all tokens is left, which best fit places.
+LEFT = 0.1
+#: Steps that are tried, until the plan is this close to the least number of sequences that the tokens need.
+STEPS, GAP = (0.5, 0.25), 2e-4
+
+
+def price(lengths: np.ndarray, copies: np.ndarray, values: np.ndarray, capacity: int) -> tuple[dict[int, int], int]:
+    """The most valuable configuration with at most ``copies`` of each length, by the bounded knapsack's dynamic program: {index: copies}, and the tokens it fills."""
+    items = []
+    for i, n in enumerate(copies.tolist()):
+        k = 1
+        while n:
+            items.append((i, min(k, n)))
+            n -= min(k, n)
+            k *= 2
+    sizes = lengths.tolist()
+    best, took = np.zeros(capacity + 1, dtype=np.float32), np.zeros((len(items), capacity + 1), dtype=bool)
+    for j, (i, n) in enumerate(items):
+        size = sizes[i] * n
+        with_it = best[: capacity + 1 - size] + np.float32(values[i] * n)
+        np.greater(with_it, best[size:], out=took[j, size:])
+        np.maximum(with_it, best[size:], out=best[size:])
+    mix: dict[int, int] = {}
     room = capacity
-    while room > 0:
-        at = int(last[room])
-        if at < 0:
-            room -= 1
-            continue
-        found[at] = found.get(at, 0) + 1
-        room -= int(lengths[at])
-    mix = {at: min(n, int(left[at])) for at, n in found.items()}
-    rest = left.copy()
-    for at, n in mix.items():
-        rest[at] -= n
-    room = capacity - sum(int(lengths[at]) * n for at, n in mix.items())
-    open_ = np.flatnonzero((rest > 0) & (lengths <= room))
-    if len(open_):  # the counts left room
-        for at, n in price(values[open_], lengths[open_], rest[open_], room).items():
-            mix[int(open_[at])] = mix.get(int(open_[at]), 0) + n
-    return mix
+    for j in range(len(items) - 1, -1, -1):
+        if took[j, room]:
+            i, n = items[j]
+            mix[i] = mix.get(i, 0) + n
+            room -= sizes[i] * n
+    return mix, capacity - room
+
+
+def solve(lengths: np.ndarray, total: np.ndarray, capacity: int, step: float, seed: int = 1) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Configurations with whole multiples, and what they leave of each length.
+
+    Multiplicative weights over the covering constraints of the configuration
+    LP, one a length: a constraint's weight starts at one and is multiplied by
+    one minus the share of its open demand that a step covers, so it is the
+    share of the demand that is still open. A round draws candidate lengths by
+    weight times demand, prices the best configuration of them within the
+    open counts, and uses it as often as it takes ``step`` of its scarcest
+    length's open demand, rounded down (once where that is none). Prices are
+    the lengths themselves, the dual solution of a perfect packing, raised or
+    lowered by up to one part in FIRM by the weights.
+    """
+    rng, left, used = np.random.default_rng(seed), total.copy(), []
+    mass = todo = int((lengths * total).sum())
+    while todo > LEFT * mass:
+        alive = np.flatnonzero(left)
+        weight = left[alive] / total[alive]
+        order = rng.exponential(size=len(alive)) / (lengths[alive] * total[alive] * weight)
+        found, fill, chosen = {}, 0, alive
+        for k in (PRICED, 4 * PRICED):
+            near = np.argpartition(order, k)[:k] if len(alive) > k else np.arange(len(alive))
+            at = alive[near]
+            mix, filled = price(lengths[at], np.minimum(left[at], capacity // lengths[at]), lengths[at] * (1 + (weight[near] - 1) / FIRM), capacity)
+            if filled > fill:
+                found, fill, chosen = mix, filled, at
+            if fill == capacity or len(alive) <= k:
+                break
+        at, n = chosen[list(found)], np.array(list(found.values()))
+        times = max(1, int(np.floor(step * (left[at] / n).min())))
+        left[at] -= n * times
+        todo -= fill * times
+        used.append(({int(lengths[i]): int(c) for i, c in zip(at, n, strict=True)}, times))
+    return used, left
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, open_bins: list[tuple[dict[int, int], int]]) -> list[tuple[dict[int, int], int]]:
@@ -225,41 +270,30 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, open_bins:
     return [x for same in by_room for x in same]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 240, rate: float = 0.6) -> list[tuple[dict[int, int], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used; every piece is placed exactly once.
 
-    Multiplicative weights over the covering constraints of the configuration
-    LP: a length starts with its share of the capacity as its weight, and its
-    weight falls by a factor exp(-rate * excess) as its coverage runs ahead of
-    the mean coverage. Each round prices one configuration and uses it as far
-    as the counts allow, up to an even share of the lower bound. The result is
-    whole-numbered by rounding down; the rest is placed by best fit, in the
-    room of the configurations first. All rounds run at every size; where best
-    fit alone needs fewer sequences, its plan is taken.
+    The configuration LP is solved down to a tenth of all tokens (LEFT); best
+    fit places those, in the room of the configurations first. Smaller steps
+    follow where the plan isn't within GAP of the least number of sequences,
+    and the plan of the fewest sequences is taken; plain best fit is one of
+    the plans compared.
     """
     lengths = np.array(sorted(counts), dtype=np.int64)
     if not len(lengths):
         return []
     total = np.array([counts[int(x)] for x in lengths], dtype=np.int64)
     bound = -(-int((lengths * total).sum()) // capacity)
-    left, used = total.copy(), []
-    covered, step = np.zeros(len(lengths)), max(1, bound // rounds)
-    for _ in range(rounds):
-        alive = np.flatnonzero(left)
-        if not len(alive):
+    size = lambda bins: sum(n for _, n in bins)
+    plans: list[list[tuple[dict[int, int], int]]] = []
+    for step in STEPS:
+        used, left = solve(lengths, total, capacity, step)
+        rest = left > 0
+        plans.append(best_fit(lengths[rest], left[rest], capacity, used))
+        if size(plans[-1]) <= bound * (1 + GAP):
             break
-        mean = float((covered[alive] * lengths[alive]).sum() / lengths[alive].sum())
-        weight = (lengths / capacity) * np.exp(-rate * np.clip(covered - mean, -0.5, 0.5))
-        found = price(weight[alive], lengths[alive], left[alive], capacity)
-        mix = {int(alive[at]): n for at, n in found.items()}
-        times = min(step, *(int(left[i]) // n for i, n in mix.items()))
-        for i, n in mix.items():
-            left[i] -= n * times
-            covered[i] = 1 - left[i] / total[i]
-        used.append(({int(lengths[i]): n for i, n in mix.items()}, times))
-    rest = left > 0
-    plans = [best_fit(lengths[rest], left[rest], capacity, used), best_fit(lengths, total, capacity, [])]
-    return min(plans, key=lambda bins: sum(n for _, n in bins))
+    plans.append(best_fit(lengths, total, capacity, []))
+    return min(plans, key=size)
 
 
 def intervals(bins: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -287,17 +321,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, lanes: int = 64, le
     Only the histogram of lengths (at most ``capacity`` rows) comes to the
     driver. Ranks inside a length are counted over ``lanes`` lanes, so a
     length that a third of all pieces have is spread over so many groups.
+    Columns named sequence_id or offset are replaced.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
-    rows = cut(pieces.withColumn("row__", F.monotonically_increasing_id()))
-    rows = rows.withColumn("lane__", F.pmod(F.xxhash64("row__"), F.lit(lanes)).cast("int"))
-    by_lane = rows.groupBy(length, "lane__").agg(F.count("*").alias("n__"))
-    counts = {int(r[0]): int(r[1]) for r in rows.groupBy(length).count().collect()}
+    row, lane, n, first, rank = free(names, "row__", "lane__", "n__", "first__", "rank__")
+    rows = cut(pieces.withColumn(row, F.monotonically_increasing_id()))
+    rows = rows.withColumn(lane, F.pmod(F.xxhash64(row), F.lit(lanes)).cast("int"))
+    by_lane = rows.groupBy(length, lane).agg(F.count("*").alias(n))
+    counts = {int(r[0]): int(r[1]) for r in by_lane.groupBy(length).agg(F.sum(n)).collect()}
     table = intervals(plan(counts, capacity))
-    before = Window.partitionBy(length).orderBy("lane__").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = by_lane.select(length, "lane__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("first__"))
-    rank = F.row_number().over(Window.partitionBy(length, "lane__").orderBy("row__")) - 1
-    ranked = rows.withColumn("rank__", rank).join(firsts, [length, "lane__"]).select(*names, (F.col("first__") + F.col("rank__")).alias("rank__"))
+    before = Window.partitionBy(length).orderBy(lane).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = by_lane.select(length, lane, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(length, lane).orderBy(row)) - 1)
+    ranked = ranked.join(firsts, [length, lane]).select(*(F.col(f"`{c}`") for c in names), (F.col(first) + F.col(rank)).alias(rank))
     at_length = names.index(length)
 
     def place(batches):

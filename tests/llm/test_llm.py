@@ -156,6 +156,54 @@ def test_packing_is_close_to_the_bound():
     assert sum(n for _, n in bins) <= 1.003 * sum(k * v for k, v in counts.items()) / 4096 + 1
 
 
+@pytest.fixture(scope="module")
+def histograms():
+    """Lengths of the pieces of the tables' documents."""
+    from tokenizers import Tokenizer
+
+    import duckdb
+
+    tokenizer, out = Tokenizer.from_file(queries.vocabulary_path()), {}
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        texts = [r[0] or "" for r in duckdb.sql(f"select text from '/root/testdata/{sf}/documents.parquet'").fetchall()]
+        lengths = [len(e.ids) + 1 for at in range(0, len(texts), 2000) for e in tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
+        pieces = np.array([n for x in lengths for n in [4096] * (x // 4096) + [x % 4096] * (x % 4096 > 0)])
+        out[sf] = {int(k): int(v) for k, v in zip(*np.unique(pieces, return_counts=True), strict=True)}
+    return out
+
+
+@pytest.mark.parametrize("sf, times", [("sf0.001", 1), ("sf0.01", 1), ("sf0.01", 1000), ("sf0.1", 1), ("sf0.1", 1000)])
+def test_the_program_carries_the_packing(histograms, sf, times):
+    counts = {k: n * times for k, n in histograms[sf].items()}
+    lengths = np.array(sorted(counts))
+    total = np.array([counts[k] for k in sorted(counts)])
+    used, left = packing.solve(lengths, total, 4096, packing.STEPS[0])
+    whole = packing.best_fit(lengths[left > 0], left[left > 0], 4096, used)
+    alone = packing.best_fit(lengths, total, 4096, [])
+    size = lambda bins: sum(n for _, n in bins)
+    assert size(used) > 0.8 * size(whole)
+    assert size(packing.plan(counts)) <= size(whole) <= size(alone)
+    # the weights take part: without them another packing comes out
+    assert len({tuple(sorted(m.items())) for m, _ in used}) > 1
+
+
+def test_packing_with_another_vocabulary_and_clashing_columns(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a  b,c\n\nd 12", "", "don't  stop", "é 12 日本"]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, rank__ string")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack_documents(frame, path).collect()}
+    ids = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4") for t in texts]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+    pieces = spark.createDataFrame([(5, "a", 1, 9), (5, "a", 1, 9), (4090, "b", 2, 9)], "length long, rank__ string, Row__ int, offset int")
+    packed = packing.pack_pieces(pieces)
+    assert packed.columns == ["length", "rank__", "Row__", "sequence_id", "offset"] and packed.count() == 3
+    assert packing.pack_documents(frame.limit(0), path).count() == 0
+
+
 @pytest.mark.parametrize("counts, most", [({1366: 50, 1365: 40, 1370: 30}, 50), ({2048: 21, 1400: 30, 1300: 30, 700: 20, 676: 18}, 38)])
 def test_packing_plans_small_tables_too(counts, most):
     bins = packing.plan(counts)
