@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, embedding_dedup, html_text, jaccard_join, line_dedup, packing, quality, queries, sharding, toxicity, url_filter
 
@@ -320,6 +321,72 @@ def test_html_adverts_on_a_page_without_a_content_element():
         assert html_text.main_text(page, html_weight()) == html_text.main_text(plain, html_weight()) == " ".join(text.replace(advert, "").replace("<p>", " ").replace("</p>", " ").split())
 
 
+@pytest.fixture(scope="module")
+def article_pages():
+    import duckdb
+
+    return [r[0] for r in duckdb.sql("select html from '/root/testdata/sf0.1/pages.parquet' order by page_id").fetchall()]
+
+
+def article_text(page):
+    import html
+    import re
+
+    inner = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", page, re.S)[1])
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_html_scan_finds_articles_without_lists_or_marks(article_pages):
+    """Weights learned from 600 pages alone, on other pages whose article tags are taken away."""
+    inside, outside = html_text.Counter(), html_text.Counter()
+    for page in article_pages[:600]:
+        a, b = html_text.count(page, lists=False)
+        inside += a
+        outside += b
+    weight = html_text.weights(inside, outside, prior={})
+    held = article_pages[600:1200]
+    bare = [p.replace("<article>", "").replace("</article>", "") for p in held]
+    share = lambda w: np.mean([html_text.main_text(b, w, lists=False) == article_text(p) for p, b in zip(held, bare, strict=True)])
+    assert share(weight) > 0.95
+    values = list(weight["words"].values())
+    for seed in range(3):
+        random.Random(seed).shuffle(values)
+        assert share({**weight, "words": dict(zip(weight["words"], values, strict=True))}) < 0.5
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>a<svg/>b</p><p>c</p>", "ab c"),
+        ("<p>a<svg><path d='M0'/><text>no</text></svg>b</p>", "ab"),
+        ("<p title=it's>one</p><p class=\"x>y\">two</p>", "one two"),
+        ("<p>lead</p><table><tr><td>one<td>two</tr><tr><td>three</table><p>end</p>", "lead one two three end"),
+        ("<article><div class='side-by-side'>one</div><p class='skip-first'>two</p></article>", "one two"),
+        ("<article><p>one<p class=ad>buy<p>two<ul><li class=ad>no<li>three</ul></article>", "one two three"),
+        ("<article><p>1 &lt; 2 &amp;amp; <b>b</b>old</p><!-- x --><form><p>sign</p></form><style>p{}</style></article>", "1 < 2 &amp; bold"),
+        ("<div class='comments'><p>first</p></div><h1>T</h1><p>one</p></i></p><header><h2>h</h2></header>", "T one"),
+        ("<p>open <b>tags <i>stay", "open tags stay"),
+        ("no tags at all", "no tags at all"),
+        ("<", "<"),
+        ("<script>only", ""),
+    ],
+)
+def test_html_odd_pages(page, want):
+    assert html_text.main_text(page, html_weight()) == want
+
+
+def test_html_odd_tables(spark):
+    long = "<article>" + "<p>word word</p>" * 40_000 + "</article>" + "<b>" * 20_000 + "</i>" * 20_000
+    rows = [(1, "u", None, 5), (1, "u", "<p>a</p>", 6), (1, "u", "<p>a</p>", 6), (None, None, long, 7)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    for weight in (html_text.learn(frame), html_text.learn(frame.limit(0))):  # one labelled page; none
+        got = sorted((r["page_id"] or 0, r["text"][:9], r["n_chars"]) for r in html_text.extract(frame, weight).collect())
+        assert got == [(0, "word word", 400_000 - 1), (1, "", 0), (1, "a", 1), (1, "a", 1)]
+    assert html_text.extract(frame.limit(0), weight).count() == 0
+    named = frame.select("page_id", F.col("html").alias("text"))
+    assert html_text.extract(named, weight, page="text").columns == ["page_id", "text", "n_chars"]
+
+
 def test_models_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r for r in queries.table(spark, sf, "labels").collect()}
