@@ -5,8 +5,9 @@ by all of these, so that a line held by a third of all documents spans many
 partitions, and sorted inside a partition: hash, then document from the
 largest down, then position. One pass streams each partition and keeps the
 first document of a hash; a run that crosses partition borders is completed
-from a summary of two rows a partition. Documents then get a compressed
-bitmap of the lines that stay, not their text.
+from a summary of two rows a partition. What comes back is a compressed bitmap
+a document that loses lines, never a text; the bitmaps go to the documents,
+whose texts stay where they are as long as the bitmaps of all are small.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, cut, partitions
+from tessera.llm.common import BLANKS, cut, free, let_go, partitions
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
-KEYS = ("h1", "h2", "doc")
+#: Bytes of bitmaps, with their keys, that are sent to every executor; more of them meet the documents in a shuffle.
+SENT = 32_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -183,64 +185,98 @@ def _decide(border: dict[int, tuple], min_documents: int):
 def dropped_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(doc, rid, pos) of every line that goes. df: doc, rid, text, with no null in doc."""
     parts = max(partitions(df.sparkSession), 8)
-    rows = long_lines(df, min_chars).repartitionByRange(parts, F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("pos"))
-    rows = cut(rows.sortWithinPartitions(F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("pos")))
+    found = cut(long_lines(df, min_chars))  # the ranges are found from a sample of these rows, not of texts hashed again
+    order = (F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("pos"))
+    rows = cut(found.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    let_go(found)
     border = _border(rows.mapInArrow(_summary, "part int, k int, h1 long, h2 long, n long, d0 long, d1 long").collect())  # two rows a partition
     return rows.mapInArrow(_decide(border, min_documents), "doc long, rid long, pos int")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, with_bitmap: bool = True) -> DataFrame:
+def packed(positions) -> bytes:
+    """The compressed bitmap that drops ``positions``: bit i, from the lowest of byte 0 on, tells whether line i stays; lines beyond it stay."""
+    stays = np.ones(max(positions) // 8 * 8 + 8, dtype=bool)  # whole bytes
+    stays[list(positions)] = False
+    return zlib.compress(np.packbits(stays, bitorder="little").tobytes(), 1)
+
+
+def unpacked(bitmap: bytes | None, n: int) -> np.ndarray:
+    """Which of ``n`` lines a bitmap keeps."""
+    stays = np.ones(n, dtype=bool)
+    if bitmap:
+        raw = np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8)
+        bits = np.unpackbits(raw, bitorder="little", count=min(n, 8 * len(raw)))
+        stays[: len(bits)] = bits
+    return stays
+
+
+def keep_bitmaps(df: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(doc, rid, n_dropped, keep_bitmap) of the documents that lose lines. df: doc, rid, text, with no null in doc."""
+
+    def pack(batches):
+        for batch in batches:
+            maps = [packed(p) for p in batch.column(2).to_pylist()]
+            sizes = [len(p) for p in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], names=["doc", "rid", "n_dropped", "keep_bitmap"])
+
+    gone = dropped_lines(df, min_chars, min_documents).groupBy("doc", "rid").agg(F.collect_set("pos").alias("gone"))
+    return gone.mapInArrow(pack, "doc long, rid long, n_dropped long, keep_bitmap binary")
+
+
+def _numbered(df: DataFrame, key: str, text: str, doc: str, rid: str) -> DataFrame:
+    return df.withColumn(doc, F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63)))).withColumn(rid, F.xxhash64(F.col(f"`{text}`").cast("string")))
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, sent: int = SENT) -> DataFrame:
     r"""``df`` with lines removed from ``text``, and n_lines, n_dropped, keep_bitmap.
 
     A line's key is the line without ASCII white space at its ends, A-Z
     lower-cased. Keys of at least ``min_chars`` code points that at least
     ``min_documents`` documents hold lose all their lines but those in the
     largest document id. keep_bitmap is zlib-compressed: bit i, from the lowest
-    of byte 0 on, tells whether line i stays. A null or empty text is one empty
-    line and comes back as the empty text; a document whose lines all go keeps
-    its row. A null id counts as one document, the smallest of all; rows that
-    repeat an id are one document for the count, each row keeping its own
-    lines. Other columns pass through; a column named like an added one is
-    replaced.
+    of byte 0 on, tells whether line i stays, lines beyond it stay; it is null
+    where no line goes. A null or empty text is one empty line and comes back
+    as the empty text; a document whose lines all go keeps its row. A null id
+    counts as one document, the smallest of all; rows that repeat an id are
+    one document for the count, each row keeping its own lines. Other columns
+    pass through, whatever they are named; a column named like an added one is
+    replaced. An empty table gives an empty one.
     """
-    low = F.lit(-(2**63))
     docs = df.drop("n_lines", "n_dropped", "keep_bitmap")
-    names, added = docs.columns, ["doc__", "rid__"]
-    if set(added) & set(names):
-        raise ValueError(f"columns {added} are taken")
-    docs = docs.withColumn("doc__", F.coalesce(F.col(key).cast("long"), low)).withColumn("rid__", F.xxhash64(F.col(text)))
-    gone = dropped_lines(docs.select(F.col("doc__").alias("doc"), F.col("rid__").alias("rid"), F.col(text).cast("string").alias("text")), min_chars, min_documents)
-    gone = gone.groupBy(F.col("doc").alias("doc__"), F.col("rid").alias("rid__")).agg(F.collect_set("pos").alias("gone__"))
-    joined = docs.join(gone.hint("shuffle_hash"), ["doc__", "rid__"], "left").select(*names, "gone__")
+    names = docs.columns
+    doc, rid, bitmap = free(names, "doc__", "rid__", "bitmap__")
+    docs = _numbered(docs, key, text, doc, rid)
+    bitmaps = cut(keep_bitmaps(docs.select(F.col(doc).alias("doc"), F.col(rid).alias("rid"), F.col(f"`{text}`").cast("string").alias("text")), min_chars, min_documents))
+    size = bitmaps.agg(F.coalesce(F.sum(F.octet_length("keep_bitmap") + 24), F.lit(0))).first()[0]
+    bitmaps = bitmaps.select(F.col("doc").alias(doc), F.col("rid").alias(rid), F.col("keep_bitmap").alias(bitmap))
+    joined = docs.join(F.broadcast(bitmaps) if size <= sent else bitmaps.hint("shuffle_hash"), [doc, rid], "left").select(*(F.col(f"`{c}`") for c in names), bitmap)
     at = names.index(text)
 
     def keep(batches):
         for batch in batches:
-            texts, marks = batch.column(at), batch.column(len(names))
-            kept, n_lines, n_gone, maps = [], [], [], []
-            for value, lost in zip(texts.to_pylist(), marks.to_pylist(), strict=True):
-                lines = (value or "").split("\n")
-                stays = np.ones(len(lines), dtype=bool)
-                if lost:
-                    stays[lost] = False
-                    lines = [x for x, s in zip(lines, stays, strict=True) if s]
-                kept.append("\n".join(lines))
-                n_lines.append(len(stays))
-                n_gone.append(len(lost or ()))
-                if with_bitmap:
-                    maps.append(zlib.compress(np.packbits(stays, bitorder="little").tobytes(), 1))
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(kept, pa.string())
-            columns += [pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())] + ([pa.array(maps, pa.binary())] if with_bitmap else [])
-            yield pa.RecordBatch.from_arrays(columns, names=out_names)
-
-    out_names = [*names, "n_lines", "n_dropped", *(["keep_bitmap"] if with_bitmap else [])]
-    schema = ", ".join(f"`{c}` {'string' if c == text else t}" for c, t in docs.select(*names).dtypes)
-    return joined.mapInArrow(keep, f"{schema}, n_lines long, n_dropped long" + (", keep_bitmap binary" if with_bitmap else ""))
-
-
-def apply_bitmap(text: str | None, bitmap: bytes) -> str:
+            for start in range(0, batch.num_rows, 1024):  # bounds what very long texts hold at once
+                part = batch.slice(start, 1024)
+                kept, n_lines, n_gone = [], [], []
+                for value, marks in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist(), strict=True):
+                    value = value or ""
+                    n = value.count("\n") + 1
+                    if marks:
+                        stays = unpacked(marks, n)
+                        value = "\n".join(x for x, s in zip(value.split("\n"), stays, strict=True) if s)
+                        n_gone.append(int(n - stays.sum()))
+                    else:
+                        n_gone.append(0)
+                    kept.append(value)
+                    n_lines.append(n)
+                columns = list(part.columns)
+                columns[at] = pa.array(kept, pa.string())
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), columns[-1]], names=[*names, "n_lines", "n_dropped", "keep_bitmap"])
+
+    schema = ", ".join(f"`{c}` {'string' if c == text else t}" for c, t in docs.select(*(F.col(f"`{c}`") for c in names)).dtypes)
+    return joined.mapInArrow(keep, f"{schema}, n_lines long, n_dropped long, keep_bitmap binary")
+
+
+def apply_bitmap(text: str | None, bitmap: bytes | None) -> str:
     """The lines of ``text`` that ``bitmap`` keeps."""
     lines = (text or "").split("\n")
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), dtype=np.uint8), bitorder="little", count=len(lines))
-    return "\n".join(x for x, b in zip(lines, bits, strict=True) if b)
+    return "\n".join(x for x, s in zip(lines, unpacked(bitmap, len(lines)), strict=True) if s)
