@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix64, partitions
-from tessera.llm.graph import components
+from tessera.llm.common import cut, let_go, mix64, partitions
+from tessera.llm.graph import components, spread_join
 from tessera.llm.streams import grouped
 
 THRESHOLD = 0.95
@@ -79,8 +79,20 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _arrays(column: pa.Array, dtype) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), dtype=dtype) for x in column]
+def _by_size(column: pa.Array, dtype) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length of vector in a column of bytes."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks)
+    width = np.dtype(dtype).itemsize
+    ends = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1] // width
+    flat = np.frombuffer(array.buffers()[2], dtype=dtype) if len(array) else np.zeros(0, dtype=dtype)
+    size = np.diff(ends)
+    out = []
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        out.append((rows, flat[ends[rows][:, None] + np.arange(dim)]))
+    return out
 
 
 def vector_classes(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, str]:
@@ -90,35 +102,35 @@ def vector_classes(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, str
 
     def encode(batches):
         for batch in batches:
-            digests, blobs = [], []
-            for x in batch.column(1).to_pylist():
-                blob = digest = None
-                if x and None not in x:
-                    v = np.array(x, dtype=dtype) + dtype(0)  # -0 becomes 0
-                    if np.isfinite(v).all() and v.any():
-                        blob = v.tobytes()
-                        digest = hashlib.blake2b(blob, digest_size=12).digest()
-                digests.append(digest)
-                blobs.append(blob)
+            lists = batch.column(1)
+            begin, end = lists.offsets.to_numpy()[:-1], lists.offsets.to_numpy()[1:]
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(dtype) + dtype(0)  # a null is NaN, -0 becomes 0
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+            filled = np.concatenate([[0], np.cumsum(flat != 0)])
+            ok = (bad[end] == bad[begin]) & (filled[end] > filled[begin]) & lists.is_valid().to_numpy(zero_copy_only=False)
+            raw = flat.tobytes()
+            blobs = [raw[a:b] if k else None for a, b, k in zip((begin * flat.itemsize).tolist(), (end * flat.itemsize).tolist(), ok.tolist(), strict=True)]
+            digests = [x and hashlib.blake2b(x, digest_size=12).digest() for x in blobs]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], names=["vec_id", "cls", "vec"])
 
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>" if wide else "array<float>").alias("v"))
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>" if wide else "array<float>").alias("v"))
     return rows.mapInArrow(encode, "vec_id long, cls binary, vec binary"), np.dtype(dtype).str
 
 
 def _memberships(classes: DataFrame, tables: Tables, dtype: str) -> DataFrame:
+    """(bucket, place, id): each class in its bucket of each table; place numbers the tables."""
+
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                rows = _arrays(part.column(1), dtype)
-                for dim in sorted({len(r) for r in rows}):
-                    at = np.array([i for i, r in enumerate(rows) if len(r) == dim])
-                    b = tables.buckets(unit_rows(np.stack([rows[i] for i in at])))
-                    ids = part.column(0).take(pa.array(np.repeat(at, tables.tables)))
-                    yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64).ravel()), ids], names=["bucket", "cls"])
+                for rows, vectors in _by_size(part.column(1), dtype):
+                    b = tables.buckets(unit_rows(vectors))
+                    ids = part.column(0).take(pa.array(np.repeat(rows, tables.tables)))
+                    place = np.tile(np.arange(tables.tables, dtype=np.int32), len(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64).ravel()), pa.array(place), ids], names=["bucket", "place", "id"])
 
-    return classes.select("cls", "vec").mapInArrow(run, "bucket long, cls binary")
+    return classes.select("id", "vec").mapInArrow(run, "bucket long, place int, id long")
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -129,25 +141,26 @@ def _find(parent: np.ndarray, i: int) -> int:
 
 
 def _compare(tables: Tables, threshold: float, dtype: str):
-    """Sorted rows (bucket, ta, tb, side, cls, vec, n) to (cls, links, root): links a row found, and a linked row of its own."""
+    """Sorted rows (bucket, ta, tb, side, id, vec, n) to (id, links, root): links a row found, and a linked row of its own."""
 
     def run(batches):
         for table in grouped(batches, 3, 4096):
-            bucket, ta, tb, side, n = (table.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 6))
-            raw = _arrays(table.column(5), dtype)
-            if len({len(r) for r in raw}) > 1:  # a bucket of several sizes is a hash collision
-                size = np.array([len(r) for r in raw])
-            else:
-                size = np.full(len(raw), len(raw[0]))
+            bucket, ta, tb, side, ids, n = (table.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 4, 6))
+            sized = _by_size(table.column(5), dtype)
+            size = np.zeros(len(bucket), dtype=np.int64)
+            for rows, vectors in sized:
+                size[rows] = vectors.shape[1]
             new = np.ones(len(bucket), dtype=bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(bucket))
+            units = {vectors.shape[1]: (rows, unit_rows(vectors)) for rows, vectors in sized}
             left, right = [], []
-            for dim in np.unique(size):
-                unit = np.zeros((len(raw), dim))
-                own = np.flatnonzero(size == dim)
-                unit[own] = unit_rows(np.stack([raw[i] for i in own]))
+            for dim, (own, vectors) in units.items():
+                unit = vectors
+                if len(units) > 1:  # a bucket of several sizes is a hash collision
+                    unit = np.zeros((len(bucket), dim))
+                    unit[own] = vectors
                 spans = ends - starts
                 for m in np.unique(spans):
                     if m < 2:
@@ -171,10 +184,11 @@ def _compare(tables: Tables, threshold: float, dtype: str):
                 continue
             rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
             signs = np.zeros((len(rows), tables.tables), dtype=np.uint64)
-            for dim in np.unique(size[rows]):
-                own = np.flatnonzero(size[rows] == dim)
-                for s in range(0, len(own), 2048):
-                    signs[own[s : s + 2048]] = tables.buckets(unit_rows(np.stack([raw[r] for r in rows[own[s : s + 2048]]])))
+            for dim, (own, vectors) in units.items():
+                mine = np.flatnonzero(size[rows] == dim)
+                at = np.searchsorted(own, rows[mine])
+                for s in range(0, len(mine), 2048):
+                    signs[mine[s : s + 2048]] = tables.buckets(vectors[at[s : s + 2048]])
             a, b = back[: len(i)], back[len(i) :]
             mine = np.zeros(len(i), dtype=bool)  # a pair counts in the first table where it meets
             for s in range(0, len(i), 1 << 16):
@@ -192,8 +206,7 @@ def _compare(tables: Tables, threshold: float, dtype: str):
                     parent[max(p, q)] = min(p, q)
             seen = np.flatnonzero(links > 0)
             roots = np.array([_find(parent, r) for r in seen.tolist()])
-            ids = table.column(4).combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[seen])), pa.array(links[seen].astype(np.int64)), ids.take(pa.array(rows[roots]))], names=["cls", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[seen]]), pa.array(links[seen].astype(np.int64)), pa.array(ids[rows[roots]])], names=["id", "links", "root"])
 
     return run
 
@@ -209,30 +222,36 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     lengths. Rows that repeat an id are vectors of their own; a null id is
     never a component_id unless all ids of the component are null.
 
-    Equal vectors are one class from the start. A bucket larger than ``tile``
-    is compared tile by tile in many tasks, whole, and only counts and one
-    edge a vector leave a task.
+    Equal vectors are one class from the start. Buckets of different tables
+    that hold the same vectors are compared once, as the one of the first such
+    table. A bucket larger than ``tile`` is compared tile by tile in many
+    tasks, whole, and only counts and one edge a vector leave a task. The
+    other columns of ``df`` are left out; an empty table gives an empty one.
     """
     spark = df.sparkSession
     rows, dtype = vector_classes(df, key, vector)
     rows = cut(rows)
     classes = rows.where("cls is not null").groupBy("cls").agg(F.max("vec").alias("vec"), F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = cut(classes)
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     tables = Tables(*shape(classes.count(), threshold, miss=miss))
     member = _memberships(classes, tables, dtype)
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    crowded = member.groupBy("bucket").agg(F.count("*").alias("m"), F.min("place").alias("place"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("m > 1")
+    crowded = crowded.groupBy("m", "x", "y").agg(F.min(F.struct("place", "bucket"))["bucket"].alias("bucket"))
     met = member.join(crowded, "bucket").withColumn("c", F.ceil(F.col("m") / F.lit(tile)).cast("int"))
-    met = met.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("c")).cast("int"))
-    met = met.select("bucket", "cls", "side", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-    met = met.select("bucket", F.least("side", "other").alias("ta"), F.greatest("side", "other").alias("tb"), "side", "cls")
-    met = met.join(classes.select("cls", "vec", "n"), "cls").select("bucket", "ta", "tb", "side", "cls", "vec", "n")
+    met = met.withColumn("side", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+    met = met.select("bucket", "id", "side", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+    met = met.select("bucket", F.least("side", "other").alias("ta"), F.greatest("side", "other").alias("tb"), "side", "id")
+    met = met.join(classes.select("id", "vec", "n"), "id").select("bucket", "ta", "tb", "side", "id", "vec", "n")
     tiles = met.repartition(max(partitions(spark), 8), "bucket", "ta", "tb").sortWithinPartitions("bucket", "ta", "tb")
-    found = cut(tiles.mapInArrow(_compare(tables, threshold, dtype), "cls binary, links long, root binary"))
-    roots = components(found, "cls", "root")
-    names = classes.select("cls", "rep").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    smallest = names.groupBy("root").agg(F.min("rep").alias("component_id"))
-    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    answer = names.join(smallest, "root").join(links, "cls", "left").join(classes.select("cls", "n"), "cls").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = rows.select("vec_id", "cls").join(answer, "cls", "left")
+    found = cut(tiles.mapInArrow(_compare(tables, threshold, dtype), "id long, links long, root long"))
+    roots = components(found, "id", "root")
+    linked = classes.select(F.col("id").alias("node"), "rep").join(roots, "node")
+    lows = linked.groupBy("root").agg(F.min("rep").alias("low"))
+    linked = spread_join(linked.select("node", "root"), lows, "root", "node").select(F.col("node").alias("id"), "low")
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    answer = classes.select("id", "cls", "n", "rep").join(linked, "id", "left").join(links, "id", "left")
+    answer = cut(answer.select("cls", F.coalesce("low", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    let_go(classes, found)
+    out = spread_join(rows.select("vec_id", "cls"), answer, "cls", "vec_id", "left")  # copies of one vector may be a third of all rows
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

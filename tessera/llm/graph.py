@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, let_go
+
+#: Tasks over which the rows of one join key are dealt.
+SALTS = 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """An equality join where any number of rows of ``left`` may share a key: they are dealt over ``salts`` tasks by column ``by``, and the one row that ``right`` has for a key goes to each of them."""
+    left = left.withColumn("salt__", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = right.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [on, "salt__"], how).drop("salt__")
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -28,9 +38,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not _is_stars(edges):
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = spread_join(both, low, "x", "y").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = cut(large)
+        let_go(edges)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, low, "u", "v").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        let_go(large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
