@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, mix64, partitions
-from tessera.llm.graph import components
+from tessera.llm.common import cut, free, let_go, mix64, partitions
+from tessera.llm.graph import components, spread_join
 from tessera.llm.streams import grouped
 from tessera.llm.textbytes import Rolling, blocks, released, word_hashes, worker_state
 
@@ -34,6 +34,8 @@ SHINGLE = 5
 BLOCK = 1_000_000
 #: Signature bits that are compared; what falls together by chance is sorted out by the check.
 BITS = 48
+#: Sets that a task remembers, so that their copies do not speak again.
+MEMO = 200_000
 #: Documents of one signature run that a task compares with as many others.
 TILE = 2048
 LOW = -(2**63)
@@ -74,7 +76,12 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sum64(cell: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    """Sums modulo 2**64 of ``h`` in each cell (fewer than 2**21 a cell)."""
+    """Sums modulo 2**64 of ``h`` in each cell."""
+    if len(h) >= 1 << 21:  # beyond the whole numbers of a double
+        out, order = np.zeros(size, dtype=np.uint64), np.argsort(cell, kind="stable")
+        at = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        out[cell[order][at]] = np.add.reduceat(h[order], at)
+        return out
     low = np.bincount(cell, (h & np.uint64(0xFFFFFFFF)).astype(np.float64), size).astype(np.uint64)
     high = np.bincount(cell, (h >> np.uint64(32)).astype(np.float64), size).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -201,14 +208,19 @@ def signature_rows(docs: DataFrame, ranges: int) -> DataFrame:
     shift = BITS - ranges.bit_length() + 1
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for piece in blocks(texts, BLOCK):
                 h, n = shingle_sets(texts[piece])
-                a, b = set_keys(h, n)
-                _, one = np.unique(a ^ mix64(b), return_index=True)  # a set's copies in this block speak once
+                keys = np.stack(set_keys(h, n), axis=1)
                 chosen = np.zeros(len(n), dtype=bool)
-                chosen[one] = True
+                if len(seen) > MEMO:
+                    seen.clear()
+                for i in np.flatnonzero(n).tolist():  # a set's copies in this task speak once
+                    if (own := keys[i].tobytes()) not in seen:
+                        seen.add(own)
+                        chosen[i] = True
                 mask = np.repeat(chosen, n)
                 sig, doc = signatures(h[mask], np.where(chosen, n, 0))
                 sig >>= np.uint64(64 - BITS)
@@ -401,7 +413,7 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     comps = key_of.select("doc", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc", "key", F.coalesce("root", "key").alias("comp"))
     inside = met.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc")).distinct().join(comps, "doc").select("run", "key", "comp")
     mixed = inside.groupBy("run").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 != c1").select("run", F.ceil(F.col("m") / F.lit(tile)).cast("int").alias("c"))
-    inside = cut(inside.join(mixed, "run").distinct())
+    crossing = inside = cut(inside.join(mixed, "run").distinct())
     bitmaps = key_of.groupBy("key").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     inside = inside.join(bitmaps, "key").withColumn("side", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
@@ -409,6 +421,7 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     tiles = inside.repartition(max(partitions(spark), 8), "run", "ta", "tb").sortWithinPartitions("run", "ta", "tb")
     more = tiles.mapInArrow(lambda batches: released(_cross(batches)), "ka binary, kb binary").distinct().join(screened, ["ka", "kb"], "left_anti")
     more = cut(more)
+    let_go(met, key_of, screened, crossing)
     if more.limit(1).count():
         roots = components(roots.select(F.col("node").alias("ka"), F.col("root").alias("kb")).union(_checked(more, classes, docs)), "ka", "kb")
     return table, roots
@@ -428,9 +441,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("doc"), F.col(text).cast("string").alias("text"))
     table, roots = link_classes(docs)
-    named = table.select("doc", "n", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc", "n", F.coalesce("root", "key").alias("comp"))
-    smallest = named.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("low"))
-    out = named.join(smallest, "comp", "left").select("doc", "n", F.coalesce("low", "doc").alias("low"))
+    lows = roots.join(table.groupBy("key").agg(F.min("doc").alias("rep")), F.col("node") == F.col("key")).groupBy("root").agg(F.min("rep").alias("low"))
+    linked = spread_join(roots, lows, "root", "node").select(F.col("node").alias("key"), F.col("low").alias("linked"))
+    # copies of one text may be a third of all rows; a set without links has its own smallest id
+    own = table.where("key is not null").groupBy("key").agg(F.min("doc").alias("own")).join(linked, "key", "left").select("key", F.coalesce("linked", "own").alias("low"))
+    out = spread_join(table.select("doc", "n", "key"), own, "key", "doc", "left").select("doc", "n", F.coalesce("low", "doc").alias("low"))
     real = lambda c: F.when(F.col(c) != LOW, F.col(c))
     return out.select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("low").alias("component_id"))
 
@@ -443,19 +458,20 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     texts any one stays. Documents with the empty set all stay.
     """
     names = df.columns
-    number, mark = F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))
-    docs = df.select(number.alias("id"), mark.alias("mark"), F.col(text).cast("string").alias("text"))
+    gone_id, gone_mark = free(names, "id__", "mark__")
+    number, mark = F.col(f"`{key}`").cast("long"), F.xxhash64(F.col(f"`{text}`").cast("string"))
+    docs = df.select(number.alias("id"), mark.alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
     repeated = docs.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count()
     own = F.xxhash64("id", "mark")  # rows that share an id need names of their own to be compared; ids pack better
     table, roots = link_classes(docs.withColumn("doc", own if repeated else F.coalesce("id", own)))
     filled = table.where("key is not null")
-    named = filled.join(roots, F.col("key") == F.col("node"), "left").select("id", "mark", F.coalesce("root", "key").alias("comp"))
+    named = spread_join(filled.select("id", "mark", "key"), roots.withColumnRenamed("node", "key"), "key", "mark", "left").select("id", "mark", F.coalesce("root", "key").alias("comp"))
     first = named.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first"))
-    goes = named.join(first, "comp").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))))
-    goes = goes.select(F.col("id").alias("id__"), F.col("mark").alias("mark__")).distinct()
-    same = number.eqNullSafe(F.col("id__")) & (mark == F.col("mark__"))
+    goes = spread_join(named, first, "comp", "mark").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))))
+    goes = goes.select(F.col("id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    same = number.eqNullSafe(F.col(gone_id)) & (mark == F.col(gone_mark))
     left = df.join(goes, same, "left_anti").select(*(F.col(f"`{c}`") for c in names))
-    twice = filled.groupBy("id", "mark").count().where("count > 1").select(F.col("id").alias("id__"), F.col("mark").alias("mark__"))
+    twice = filled.groupBy("id", "mark").count().where("count > 1").select(F.col("id").alias(gone_id), F.col("mark").alias(gone_mark))
     if not twice.limit(1).count():
         return left
     return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates([key, text]))
