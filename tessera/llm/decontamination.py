@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix64
+from tessera.llm.common import free, mix64
+from tessera.llm.graph import spread_join
 from tessera.llm.textbytes import BLANK, Rolling, blocks, word_hashes, worker_state
 
 MIN_MATCH = 5
@@ -254,7 +255,7 @@ def _joined_pairs(docs: DataFrame, items: DataFrame, coverage: float, least: int
     docs = docs.withColumn("row", F.xxhash64("doc_id", "t__"))
     items = items.withColumn("irow", F.xxhash64("item_id", "i__"))
     item_seeds = _seed_rows(items.select("irow", "i__"), least, True).select(F.col("row").alias("irow"), "seed")
-    met = _seed_rows(docs.select("row", "t__"), least, False).join(item_seeds, "seed").select("row", "irow").distinct()
+    met = spread_join(_seed_rows(docs.select("row", "t__"), least, False), item_seeds, "seed", "row").select("row", "irow").distinct()
     pairs = met.join(docs, "row").join(items, "irow").select("doc_id", "t__", "item_id", "i__")
 
     def run(batches):
@@ -268,11 +269,19 @@ def _joined_pairs(docs: DataFrame, items: DataFrame, coverage: float, least: int
 
 
 def decontaminate(df: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, least: int = MIN_MATCH, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """``df`` without the rows whose text covers an item to at least ``coverage``; all its columns stay."""
+    """``df`` without the rows whose text covers an item to at least ``coverage``; all its columns stay, whatever they are named.
+
+    The size of the benchmark decides how seeds meet, not which rows go: items
+    of at most ``max_seeds`` tokens are sent to the executors, others joined.
+    Null and empty texts stay; an empty benchmark takes nothing away.
+    """
     items = _small_benchmark(bench, item, item_text, max_seeds)
     if items is None:
-        pairs = contaminated_pairs(df.select(F.xxhash64(F.col(text)).alias("doc_id"), F.col(text).alias("text")), bench, "doc_id", "text", item, item_text, coverage, least, max_seeds)
-        return df.withColumn("rid__", F.xxhash64(F.col(text))).join(pairs.select(F.col("doc_id").alias("rid__")).distinct(), "rid__", "left_anti").drop("rid__")
+        (rid,) = free(df.columns, "rid__")
+        mark = F.xxhash64(F.col(f"`{text}`").cast("string"))
+        pairs = contaminated_pairs(df.select(mark.alias("doc_id"), F.col(f"`{text}`").alias("text")), bench, "doc_id", "text", item, item_text, coverage, least, max_seeds)
+        gone = pairs.select(F.col("doc_id").alias(rid)).distinct()
+        return df.join(gone, mark == F.col(rid), "left_anti")
     at = df.columns.index(text)
 
     def run(batches):
