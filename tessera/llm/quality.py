@@ -155,11 +155,11 @@ def predict(m: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """The model from at most ``sample`` labelled documents outside the held-out fold, those of the smallest id hash.
 
-    Rows without a label or an id are passed over. With no labelled document
-    at all the model scores every text 0.5; with one class only, near it.
+    Rows without a label or an id are passed over; of several labels of one id
+    the largest counts. With no labelled document at all the model scores every text 0.5; with one class only, near it.
     """
     marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").where(crc_mod("k", FOLDS) != 0)
-    chosen = marks.orderBy(F.xxhash64("k"), "k", "y").limit(sample).dropDuplicates(["k"])
+    chosen = marks.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
 
     def encode(batches):

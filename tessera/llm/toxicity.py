@@ -47,10 +47,13 @@ class Vocabulary:
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def rows(self, text: str | None) -> np.ndarray:
+        return self.of_words(set(LETTERS.findall((text or "").lower())))
+
+    def of_words(self, words) -> np.ndarray:
         memo, index, out = self.memo, self.index, set()
         if len(memo) > MEMO:
             memo.clear()
-        for word in set(LETTERS.findall((text or "").lower())):
+        for word in words:
             found = memo.get(word)
             if found is None:
                 found = memo[word] = tuple(index[t] for t in terms(word) if t in index)
@@ -58,7 +61,7 @@ class Vocabulary:
         return np.array(sorted(out), dtype=np.int64)
 
 
-def select(bags: list[Counter], toxic: np.ndarray, size: int = VOCABULARY, least: int = 4) -> tuple[list[str], dict[str, float]]:
+def select(bags: list[set[str]], toxic: np.ndarray, size: int = VOCABULARY, least: int = 4) -> tuple[list[str], dict[str, float]]:
     """The ``size`` terms whose presence tells most of the label, by the log-likelihood ratio; and each one's log-odds."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for bag, y in zip(bags, toxic, strict=True):
@@ -76,7 +79,7 @@ def select(bags: list[Counter], toxic: np.ndarray, size: int = VOCABULARY, least
     return names, {t: odds[t] for t in names}
 
 
-def graded(bags: list[Counter], toxic: np.ndarray, odds: dict[str, float], grades: int = GRADES) -> np.ndarray:
+def graded(bags: list[set[str]], toxic: np.ndarray, odds: dict[str, float], grades: int = GRADES) -> np.ndarray:
     """Severity grades where labels only say toxic or not.
 
     A clean document has grade 0. Toxic ones get grades 1 to ``grades - 1`` by
@@ -128,14 +131,18 @@ def fit(rows: list[np.ndarray], y: np.ndarray, size: int, grades: int, epochs: i
 
 def train(texts: list[str | None], labels: np.ndarray, grades: int | None = None, size: int = VOCABULARY) -> dict:
     """A model from texts and labels: 0/1 labels are graded first, labels with more values are the grades."""
-    bags = [text_words(t) for t in texts]
+    return train_words([set(text_words(t)) for t in texts], labels, grades, size)
+
+
+def train_words(bags: list[set[str]], labels: np.ndarray, grades: int | None = None, size: int = VOCABULARY) -> dict:
+    """train() from each text's distinct words."""
     labels = np.asarray(labels, dtype=np.int64)
     names, odds = select(bags, (labels > 0).astype(np.int64), size)
     binary = labels.max(initial=0) <= 1
     y = graded(bags, labels, odds, grades or GRADES) if binary else labels
     k = (grades or GRADES) if binary else int(labels.max()) + 1
     vocabulary = Vocabulary(names)
-    w, cuts = fit([vocabulary.rows(t) for t in texts], y, len(names), k)
+    w, cuts = fit([vocabulary.of_words(bag) for bag in bags], y, len(names), k)
     keep = np.abs(w) > 1e-4
     return {"names": [x for x, s in zip(names, keep, strict=True) if s], "w": w[keep], "cuts": cuts}
 
@@ -150,15 +157,23 @@ def predict(model: dict, texts: list[str | None], vocabulary: Vocabulary | None
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
     """The model from at most ``sample`` labelled documents outside the held-out fold, those of the smallest id hash.
 
-    The sample's distinct words come to the driver, at most ``sample`` texts.
-    Without labelled documents every text gets one small severity.
+    Each of its documents comes to the driver as its distinct words, never as
+    its text. Of several labels of one id the largest counts. Without labelled documents
+    every text gets one small severity.
     """
     marks = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").where(crc_mod("k", FOLDS) != 0)
-    chosen = marks.orderBy(F.xxhash64("k"), "k", "y").limit(sample).dropDuplicates(["k"])
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t").toArrow().sort_by([("k", "ascending")])
-    if not rows.num_rows:
+    chosen = marks.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
+
+    def words(batches):
+        for batch in batches:
+            bags = [" ".join(sorted(set(LETTERS.findall((t or "").lower())))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.string())], names=["k", "y", "words"])
+
+    got = rows.mapInArrow(words, "k long, y int, words string").toArrow().sort_by([("k", "ascending"), ("words", "ascending")])
+    if not got.num_rows:
         return {"names": [], "w": np.zeros(0), "cuts": np.arange(3.0, 3.0 + GRADES - 1)}
-    return train(rows["t"].to_pylist(), rows["y"].to_numpy())
+    return train_words([set(w.split()) for w in got["words"].to_pylist()], got["y"].to_numpy())
 
 
 def grade(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
