@@ -1,30 +1,38 @@
-"""A pipeline over ``documents``: each stage works on all that its predecessor kept."""
+"""A pipeline over ``documents``: each stage works on all that its predecessor kept.
+
+Every stage takes the columns of ``documents`` and any others, whatever they
+are named, and all but the last give back the same columns. An empty table
+goes through all of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, line_dedup, packing, quality
+from tessera.llm.common import cut, free, let_go
 from tessera.llm.queries import table, vocabulary_path
 
-#: Some stages learn from data, so no SQL gives run()'s rows; the tests have no brute-force version of it either.
+#: The first stage learns from data and the last one packs tokens, so no SQL gives run()'s rows; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The model learns from the labelled documents among the input."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, column="score__").where(f"score__ >= {quality.THRESHOLD}").drop("score__")
+    (score,) = free(docs.columns, "score__")
+    return quality.score_quality(docs, model, column=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; every document stays, and n_chars follows its text where it counted code points."""
-    from pyspark.sql import functions as F
-
-    kept = line_dedup.dedup_lines(docs, with_bitmap=False)
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "keep_bitmap")]
+    aside = dict(zip(own, free([*docs.columns, "n_lines", "n_dropped", "keep_bitmap"], *own), strict=True))  # the operator's columns replace those
+    kept = line_dedup.dedup_lines(docs.withColumnsRenamed(aside))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +60,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is computed once, into the shared folder; its rows go when the next stage is done."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
+            let_go(before)
     return docs
