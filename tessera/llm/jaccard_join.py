@@ -36,6 +36,8 @@ BLOCK = 1_000_000
 BITS = 48
 #: Sets that a task remembers, so that their copies do not speak again.
 MEMO = 200_000
+#: Share of the most runs that makes a document fit to be the centre of its runs.
+NEARLY = 0.3
 #: Documents of one signature run that a task compares with as many others.
 TILE = 2048
 LOW = -(2**63)
@@ -237,7 +239,7 @@ def signature_rows(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _runs(batches):
-    """Of each range: (0, a, b) for a run's first document, and for the one that most runs of the range hold, with each other; (1, run, doc) for different runs of three or more."""
+    """Of each range: (0, a, b) for a run's centre, the first of the documents that nearly the most runs of the range hold, with each other; (1, run, doc) for different runs of three or more."""
 
     def rows(kind, x, y):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int8)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], names=["kind", "x", "y"])
@@ -265,9 +267,10 @@ def _runs(batches):
         member = doc[index]
         _, number, held = np.unique(member, return_inverse=True, return_counts=True)
         run = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((member, -held[number], run))
-        hub = member[order[np.cumsum(size) - size]]
-        ends = np.concatenate([np.stack([np.repeat(c, size), member], axis=1) for c in (doc[start], hub)])
+        most = np.maximum.reduceat(held[number], np.cumsum(size) - size)
+        near = held[number] >= NEARLY * most[run]  # members of nearly the most runs count alike, so that ranges agree on one
+        hub = np.minimum.reduceat(np.where(near, member, np.iinfo(np.int64).max), np.cumsum(size) - size)
+        ends = np.stack([np.repeat(hub, size), member], axis=1)
         ends = ends[ends[:, 0] != ends[:, 1]]
         ends.sort(axis=1)
         ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
