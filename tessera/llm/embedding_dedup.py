@@ -27,6 +27,8 @@ THRESHOLD = 0.95
 WIDTH = 2.0
 #: Chance that all tables miss a pair just at the threshold.
 MISS = 0.001
+#: Buckets of so many vectors are remembered by a task.
+MEMO = 40_000
 #: Rows of a bucket that one task compares with as many others.
 TILE = 1024
 
@@ -40,12 +42,12 @@ def collide(distance: float, width: float = WIDTH) -> float:
 def shape(n: int, threshold: float = THRESHOLD, width: float = WIDTH, miss: float = MISS) -> tuple[int, int]:
     """Projections a table, and tables, for ``n`` vectors.
 
-    Unrelated (orthogonal) vectors should rarely meet: an eighth of a stranger
+    Unrelated (orthogonal) vectors should rarely meet: a sixteenth of a stranger
     in a bucket on average, so projections grow with log n. Tables follow from
     ``miss``.
     """
     near, far = collide(math.sqrt(2 - 2 * threshold), width), collide(math.sqrt(2), width)
-    k = max(4, math.ceil(math.log(8 * max(n, 2)) / -math.log(far)))
+    k = max(4, math.ceil(math.log(16 * max(n, 2)) / -math.log(far)))
     return k, math.ceil(math.log(miss) / math.log(1 - near**k))
 
 
@@ -66,10 +68,12 @@ class Tables:
             self.by_size[dim] = a, shift, odd, salt
         a, shift, odd, salt = self.by_size[dim]
         whole = np.rint(unit * 32768) @ a  # exact: integers below 2**53
-        cells = np.floor(whole / (self.width * 32768 * 1024) + shift).astype(np.int64).view(np.uint64)
+        whole *= 1 / (self.width * 32768 * 1024)
+        whole += shift
+        cells = np.floor(whole, out=whole).astype(np.int64).view(np.uint64)
         with np.errstate(over="ignore"):
-            sums = mix64(cells * odd).reshape(len(unit), self.tables, self.k).sum(axis=2, dtype=np.uint64)
-            return mix64(sums ^ salt)
+            cells *= odd
+            return mix64(cells.reshape(len(unit), self.tables, self.k).sum(axis=2, dtype=np.uint64) ^ salt)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -144,6 +148,7 @@ def _compare(tables: Tables, threshold: float, dtype: str):
     """Sorted rows (bucket, ta, tb, side, id, vec, n) to (id, links, root): links a row found, and a linked row of its own."""
 
     def run(batches):
+        known: dict[int, np.ndarray] = {}  # a vector with links meets them in many tables
         for table in grouped(batches, 3, 4096):
             bucket, ta, tb, side, ids, n = (table.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 4, 6))
             sized = _by_size(table.column(5), dtype)
@@ -183,12 +188,16 @@ def _compare(tables: Tables, threshold: float, dtype: str):
             if not len(i):
                 continue
             rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-            signs = np.zeros((len(rows), tables.tables), dtype=np.uint64)
+            if len(known) > MEMO:
+                known.clear()
+            names = ids[rows].tolist()
+            fresh = np.array([x not in known for x in names])
             for dim, (own, vectors) in units.items():
-                mine = np.flatnonzero(size[rows] == dim)
-                at = np.searchsorted(own, rows[mine])
-                for s in range(0, len(mine), 2048):
-                    signs[mine[s : s + 2048]] = tables.buckets(vectors[at[s : s + 2048]])
+                lost = np.flatnonzero(fresh & (size[rows] == dim))
+                at = np.searchsorted(own, rows[lost])
+                for s in range(0, len(lost), 2048):
+                    known.update(zip((names[r] for r in lost[s : s + 2048]), tables.buckets(vectors[at[s : s + 2048]]), strict=True))
+            signs = np.stack([known[x] for x in names])
             a, b = back[: len(i)], back[len(i) :]
             mine = np.zeros(len(i), dtype=bool)  # a pair counts in the first table where it meets
             for s in range(0, len(i), 1 << 16):
