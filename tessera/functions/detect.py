@@ -37,6 +37,7 @@ VISA_YES = (
     "visa (?:support|assistance)",
     "sponsorship (?:is )?(?:available|provided|offered)",
 )
+VISA_WORDS = ("visa", "sponsor", "to work", "work permit", "work authori", "relocat")
 #: How a posting demands a language, by language code.
 LANGUAGES = {
     "de": "flie(ß|ss)end(e[sn]?)? deutsch|deutschkenntnisse|verhandlungssicher(e[sn]?)? deutsch|sehr gute deutsch|deutsch (auf )?(mindestens )?[bc][12]|german (at )?([bc][12]|native|fluen(t|cy)|business|professional)|fluent (in )?german|native german",
@@ -48,7 +49,7 @@ LANGUAGES = {
     "sv": "flytande svenska|swedish (native|fluen(t|cy)|[bc][12])|fluent (in )?swedish",
     "da": "flydende dansk|danish (native|fluen(t|cy)|[bc][12])|fluent (in )?danish",
     "fi": "sujuva suomi|finnish (native|fluen(t|cy)|[bc][12])|fluent (in )?finnish",
-    "no": "flytande norsk|norwegian (native|fluen(t|cy)|[bc][12])|fluent (in )?norwegian",
+    "no": "flytende norsk|norwegian (native|fluen(t|cy)|[bc][12])|fluent (in )?norwegian",
 }
 #: Words near a demand that make it a wish.
 HEDGE = "(nice to have|a plus|ist ein plus|von vorteil|w(ü|u)nschenswert|preferred but not|not required|optional)"
@@ -130,9 +131,13 @@ def work_mode(explicit: Column, title: Column, location: Column, description: Co
 
 
 def visa(title: Column, description: Column) -> Column:
-    """no where a refusal stands anywhere, else yes where an offer does, else unknown."""
+    """no where a refusal stands anywhere, else yes where an offer does, else unknown.
+
+    Every phrase holds one of VISA_WORDS, so most texts need no pattern.
+    """
     text = F.concat(_text(title), F.lit("\n"), _text(description))
-    return F.when(text.rlike(_any(VISA_NO)), "no").when(text.rlike(_any(VISA_YES)), "yes").otherwise("unknown")
+    hint = reduce(lambda a, w: a | F.contains(F.lower(text), F.lit(w)), VISA_WORDS, F.lit(False))
+    return F.when(~hint, "unknown").when(text.rlike(_any(VISA_NO)), "no").when(text.rlike(_any(VISA_YES)), "yes").otherwise("unknown")
 
 
 def language_requirements(text: Column, patterns: dict[str, str] | None = None, hedge: str = HEDGE) -> Column:

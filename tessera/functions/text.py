@@ -7,12 +7,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track a visitor.
-TRACKING = r"^(utm_[^=]*|gclid|fbclid|msclkid|ref|referrer|source|src|trk|trackingid|mc_cid|mc_eid|gh_src)(=|$)"
+#: Names of query parameters that only track a visitor. Others (ref, source, src) may name a posting and stay.
+TRACKING = r"(?i)^(utm_.*|gh_src|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|_hsenc|_hsmi|trk|trackingid|wt_mc)$"
+#: Where a posting's boilerplate begins.
+BOILERPLATE = (
+    r"(?i)\bequal[\s-]opportunity[\s-](employer|employment)\b",
+    r"(?i)\bwithout regard to\b.{0,60}(race|colou?r|sex|age|national origin|disability|veteran)",
+    r"(?i)\breasonable accommodations?\b",
+    r"(?i)\bwe (celebrate|embrace|champion|welcome)\b.{0,40}\bdiversity\b",
+    r"(?im)(?:^|\n)\s*(benefits|perks( and benefits)?|what we offer|total rewards)\s*[:\n]",
+)
+#: White space beyond ASCII.
+BLANKS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 #: Aggregators of the lowest trust.
 LOW_TRUST = ("adzuna", "jsearch", "indeed")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _replace_all(column: Column, pairs) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, *p), pairs, column)
 
@@ -22,7 +37,7 @@ def strip_html(html: Column) -> Column:
     entities = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")]
     plain = F.regexp_replace(html, "<[^>]*>", " ")
     plain = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), entities, plain)
-    return F.trim(F.regexp_replace(plain, r"[ \t\r\n\f]+", " "))
+    return F.trim(F.regexp_replace(plain, BLANKS + "+", " "))
 
 
 def norm(text: Column) -> Column:
@@ -49,17 +64,31 @@ def host_in(host: Column, names) -> Column:
     return F.coalesce(reduce(lambda a, n: a | (host == n) | host.endswith("." + n), names, F.lit(False)), F.lit(False))
 
 
+def _form_encoded(part: Column) -> Column:
+    return F.coalesce(F.url_encode(F.try_url_decode(part)), part)
+
+
 def canonical_url(url: Column) -> Column:
-    """Host lower-cased, no fragment, no tracking parameters, parameters sorted, no closing slash where no query follows."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    head = F.regexp_extract(bare, r"^([^?]*)", 1)
-    scheme, path = F.lower(F.regexp_extract(head, r"^([a-zA-Z]+://)", 1)), F.regexp_extract(head, r"^[a-zA-Z]+://[^/]*(/.*)?$", 1)
-    host = F.lower(F.regexp_extract(head, r"^[a-zA-Z]+://([^/]*)", 1))
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING))), "&")
-    path = F.when(path == "", "/").otherwise(path)
-    short = F.when((kept == "") & (path != "/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    return F.when(url.rlike("^[hH][tT][tT][pP][sS]?://"), F.concat(scheme, host, short, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))).otherwise(url)
+    """Host lower-cased, no fragment, no tracking parameters, the others sorted by name, no closing slash where no query follows.
+
+    Names are compared without case, equal ones keep their order. What is no
+    http URL comes back as it is.
+    """
+    bare = F.regexp_replace(F.trim(url), "(?s)#.*$", "")
+    scheme = F.lower(F.regexp_extract(bare, r"^([a-zA-Z]+://)", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[a-zA-Z]+://([^/?]*)", 1)), F.when(scheme == "http://", ":80$").otherwise(":443$"), F.lit(""))
+    path = F.regexp_extract(bare, r"^[a-zA-Z]+://[^/?]*(/[^?]*)", 1)
+    query = F.regexp_extract(bare, r"(?s)\?(.*)$", 1)
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    named = F.transform(pairs, lambda p, i: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("order"), i.alias("place"), F.substring_index(p, "=", 1).alias("name"), F.when(p.contains("="), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("").alias("value")))
+    kept = F.array_sort(F.filter(named, lambda p: ~F.coalesce(F.try_url_decode(p["name"]), p["name"]).rlike(TRACKING)))
+    joined = F.array_join(F.transform(kept, lambda p: F.concat(_form_encoded(p["name"]), F.lit("="), _form_encoded(p["value"]))), "&")
+
+    def whole(q: Column) -> Column:
+        short = F.when(path.isin("", "/"), "/").when(q == "", F.regexp_replace(path, "/$", "")).otherwise(path)
+        return F.concat(scheme, host, short, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+
+    return F.when(F.trim(url).rlike("^[hH][tT][tT][pP][sS]?://[^/?#]"), let(joined, whole)).otherwise(url)
 
 
 def is_direct(source: Column) -> Column:
@@ -71,28 +100,40 @@ def source_trust(source: Column) -> Column:
 
 
 def count_hits(text: Column, needles) -> Column:
-    """The needles that stand anywhere in ``text``, in their own order."""
-    return F.filter(F.array(*map(F.lit, needles)), lambda n: F.contains(text, n)) if needles else F.array().cast("array<string>")
+    """The needles that stand anywhere in the lower-cased ``text``, in their own order."""
+    if not needles:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(n.lower())), F.lit(n)) for n in needles)))
 
 
 def word_hits(text: Column, needles) -> Column:
-    """The needles that no letter a-z or à-ü touches."""
+    """The needles that no letter a-z or à-ü touches in the lower-cased ``text``."""
     if not needles:
         return F.array().cast("array<string>")
-    marks = [F.when(text.rlike(f"(^|[^a-zà-ü]){_quoted(n)}($|[^a-zà-ü])"), F.lit(n)) for n in needles]
-    return F.filter(F.array(*marks), lambda n: n.isNotNull())
+    return F.array_compact(F.array(*(F.when(text.rlike(f"(?:^|[^a-zà-ü]){_quoted(n.lower().strip())}(?:$|[^a-zà-ü])"), F.lit(n)) for n in needles)))
 
 
 def _quoted(needle: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in needle)
 
 
-def trim_boilerplate(text: Column, markers, floor: int = 300, start: int = 600) -> Column:
-    """Cut at the first marker that begins at ``start`` or later, if at least ``floor`` characters and 30 % stay."""
-    low = F.lower(text)
-    first = [F.when(F.locate(m, low, start + 1) > 0, F.locate(m, low, start + 1)) for m in markers]
-    at = (F.least(*first) if len(first) > 1 else first[0]) - 1
-    return F.when((at >= floor) & (at >= 0.3 * F.length(text)), F.rtrim(F.substring(text, F.lit(1), at.cast("int")))).otherwise(text)
+def trim_boilerplate(text: Column, markers=BOILERPLATE, floor: int = 300, start: int = 600) -> Column:
+    """Cut before the earliest marker, if at least ``floor`` characters and 30 % stay; closing white space goes either way.
+
+    Of each marker, a regular expression, the first match counts, and only if
+    it begins at ``start`` or later: before that it is the posting's own text.
+    """
+    def cut(first: Column) -> Column:
+        at = F.least(F.length(text), F.coalesce(F.array_min(F.filter(first, lambda i: i >= start)), F.length(text)))
+        keep = F.when((at >= floor) & (at >= 0.3 * F.length(text)), F.substring(text, F.lit(1), at)).otherwise(text)
+        return F.regexp_replace(keep, BLANKS + r"+\z", "")
+
+    return let(F.array(*(F.regexp_instr(text, F.lit(m)) - 1 for m in markers)), cut)
+
+
+def safe_slice(text: Column, most: int) -> Column:
+    """The first ``most`` characters; a character is never cut in two."""
+    return F.substring(text, 1, most)
 
 
 def model_json(raw: Column, schema: str) -> Column:

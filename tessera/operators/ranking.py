@@ -52,7 +52,15 @@ def precision_at(df: DataFrame, order: list[Column], good: Column, k: int = 100)
 
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """1-based ranks, ties at their mean: counts by value are ranked, not rows."""
-    counts = df.groupBy(column).agg(F.count("*").alias("n__"))
-    before = F.coalesce(F.sum("n__").over(Window.orderBy(F.col(column)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.withColumn(out, before + (F.col("n__") + 1) / 2).drop("n__"), column)
+    """1-based ranks, ties at their mean; rows are placed by ranges, so no task holds all values."""
+    placed = global_rank(df.select(column), [F.col(column)], "place__")
+    means = placed.groupBy(column).agg((F.avg("place__") + 1).alias(out))
+    return df.join(means, column)
+
+
+def gem_recall(df: DataFrame, order: list[Column], gem: Column, share: float = 0.2) -> DataFrame:
+    """One row, gem_recall: how many of the gems stand in the first ``share`` of the rows; 0 without gems."""
+    ranked = global_rank(df.withColumn("gem__", F.coalesce(gem, F.lit(False))), order, "place__")
+    size = ranked.agg(F.count("*").alias("n__"))
+    hits = ranked.join(F.broadcast(size)).agg(F.count_if(F.col("gem__") & (F.col("place__") < F.ceil(F.col("n__") * share))).alias("hit"), F.count_if("gem__").alias("all"))
+    return hits.select(F.coalesce(F.col("hit") / F.nullif("all", F.lit(0)), F.lit(0.0)).alias("gem_recall"))

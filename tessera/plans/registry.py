@@ -43,8 +43,8 @@ PROFILE = scoring.Profile(
     negative=("idiot", "nd"),
     role_negative=("ea", "ti"),
     signals=("th", "er", "la", "de"),
-    boost=("tion",),
-    avoid=("ing",),
+    boost=("the",),
+    avoid=("of", "und"),
 )
 
 
@@ -81,7 +81,7 @@ WITH d AS (
 ), t AS (
   SELECT doc_id, remote, lower(title) AS low, lower(title || chr(10) || body) AS txt FROM d
 ), a AS (
-  SELECT *, CASE WHEN contains(low, 'tion') THEN 8 ELSE 0 END - CASE WHEN contains(low, 'ing') THEN 8 ELSE 0 END AS adj FROM t
+  SELECT *, CASE WHEN regexp_matches(low, '(^|[^a-zà-ü])the($|[^a-zà-ü])') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(low, '(^|[^a-zà-ü])(of|und)($|[^a-zà-ü])') THEN 8 ELSE 0 END AS adj FROM t
 ), b AS (
   SELECT *, {_sql_word("low", PROFILE.negative)} AS neg, {_sql_word("low", PROFILE.role_negative)} AS role, {_sql_track(PROFILE.tracks[0], 0)}, {_sql_track(PROFILE.tracks[1], 1)} FROM a
 ), c AS (
@@ -91,8 +91,8 @@ WITH d AS (
 ), e AS (
   SELECT doc_id,
     CASE WHEN neg IS NOT NULL THEN 'Excluded (' || neg || ')'
-      WHEN role IS NOT NULL AND n0 + n1 = 0 THEN 'Off role (' || role || ')'
-      WHEN {_sql_hits("low", PROFILE.signals)} = 0 THEN 'No role signal' END AS gate,
+      WHEN role IS NOT NULL AND n0 + n1 = 0 THEN 'Non-eng role (' || role || ')'
+      WHEN {_sql_hits("low", PROFILE.signals)} = 0 THEN 'No engineering role signal in title' END AS gate,
     pick, s0, s1, r0, r1 FROM p
 ), scored AS (
   SELECT doc_id,
@@ -106,9 +106,7 @@ WITH d AS (
 
 def _scored(spark, sf_dir):
     docs = _titled(read(spark, sf_dir, "documents"))
-    low, whole = scoring.lowered(F.col("title"), F.col("body"))
-    docs = docs.select("doc_id", "remote", low.alias("low"), whole.alias("whole"))
-    return docs.select("doc_id", scoring.score(F.col("low"), F.col("whole"), F.col("remote"), PROFILE).alias("s")).select("doc_id", "s.*")
+    return scoring.score_postings(docs, PROFILE, description="body", extras=False).select("doc_id", "score", "track", "reason", "disqualified")
 
 
 @query(_SCORED + "SELECT doc_id, score, track, reason, score = 0 AS disqualified FROM scored")
@@ -116,7 +114,7 @@ def keyword_score_documents(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
-@query(_SCORED + """SELECT coalesce(CASE WHEN starts_with(reason, 'Excluded') THEN 'negative' WHEN starts_with(reason, 'Off role') THEN 'roleNegative' WHEN starts_with(reason, 'No role') THEN 'noSignal'
+@query(_SCORED + """SELECT coalesce(CASE WHEN starts_with(reason, 'Excluded') THEN 'negative' WHEN starts_with(reason, 'Non-eng') THEN 'roleNegative' WHEN starts_with(reason, 'No engineering') THEN 'noSignal'
   WHEN starts_with(reason, 'No track') THEN 'noMatch' WHEN score < 20 THEN 'belowThreshold' END, 'kept') AS gate, count(*) AS n FROM scored GROUP BY 1""")
 def gate_elimination_counts(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy(F.coalesce(scoring.gate_label(F.col("reason"), F.col("score")), F.lit("kept")).alias("gate")).agg(F.count("*").alias("n"))
@@ -146,11 +144,13 @@ def strip_html_pages(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
-@query(r"""WITH a AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages),
-b AS (SELECT *, regexp_extract(bare, '^([^?]*)', 1) AS head, regexp_extract(bare, '\?(.*)$', 1) AS q FROM a),
-c AS (SELECT *, lower(regexp_extract(head, '^([a-zA-Z]+://)', 1)) AS scheme, lower(regexp_extract(head, '^[a-zA-Z]+://([^/]*)', 1)) AS host, CASE WHEN regexp_extract(head, '^[a-zA-Z]+://[^/]*(/.*)?$', 1) = '' THEN '/' ELSE regexp_extract(head, '^[a-zA-Z]+://[^/]*(/.*)?$', 1) END AS path,
-  array_to_string(list_sort(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|gclid|fbclid|msclkid|ref|referrer|source|src|trk|trackingid|mc_cid|mc_eid|gh_src)(=|$)'))), '&') AS kept FROM b)
-SELECT page_id, CASE WHEN regexp_matches(url, '^[hH][tT][tT][pP][sS]?://') THEN scheme || host || CASE WHEN kept = '' AND path <> '/' THEN regexp_replace(path, '/$', '') ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END ELSE url END AS canonical FROM c""")
+@query(r"""WITH a AS (SELECT page_id, url, split_part(url, '#', 1) AS bare FROM pages),
+b AS (SELECT *, split_part(bare, '?', 1) AS head, CASE WHEN contains(bare, '?') THEN substr(bare, strpos(bare, '?') + 1) ELSE '' END AS q FROM a),
+c AS (SELECT *, unnest(string_split(q, '&')) AS pair, generate_subscripts(string_split(q, '&'), 1) AS place FROM b),
+d AS (SELECT page_id, string_agg(CASE WHEN contains(pair, '=') THEN pair ELSE pair || '=' END, '&' ORDER BY lower(split_part(pair, '=', 1)), place) AS kept FROM c
+  WHERE pair <> '' AND NOT (starts_with(lower(pair), 'utm_') OR list_contains(['gh_src', 'fbclid', 'gclid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid', '_hsenc', '_hsmi', 'trk', 'trackingid', 'wt_mc'], lower(split_part(pair, '=', 1)))) GROUP BY page_id),
+e AS (SELECT b.page_id, url, lower(split_part(head, '://', 1)) AS scheme, lower(split_part(split_part(head, '://', 2), '/', 1)) AS host, regexp_extract(head, '^[^/]*//[^/]*(/.*)$', 1) AS path, coalesce(kept, '') AS kept FROM b LEFT JOIN d USING (page_id))
+SELECT page_id, CASE WHEN scheme IN ('http', 'https') THEN scheme || '://' || host || CASE WHEN path IN ('', '/') THEN '/' WHEN kept = '' THEN regexp_replace(path, '/$', '') ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END ELSE url END AS canonical FROM e""")
 def canonical_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"))
 
@@ -182,11 +182,23 @@ def corpus_accounting(spark, sf_dir):
     return read(spark, sf_dir, "pages").select(host.alias("host")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"))
 
 
-@query("""WITH x AS (SELECT doc_id, text, CASE WHEN strpos(substr(lower(text), 601), 'the') > 0 THEN strpos(substr(lower(text), 601), 'the') + 600 END AS a, CASE WHEN strpos(substr(lower(text), 601), 'und') > 0 THEN strpos(substr(lower(text), 601), 'und') + 600 END AS b FROM documents),
-y AS (SELECT *, least(a, b) - 1 AS cutoff FROM x)
-SELECT doc_id, sha1(CASE WHEN cutoff >= 300 AND cutoff >= 0.3 * length(text) THEN rtrim(substr(text, 1, cutoff)) ELSE text END) AS trimmed FROM y""")
+#: A marker and where it is planted, by doc_id % 8; the rest of the text follows it.
+_PLANTED = ("Equal Opportunity Employer.", "hired without regard to race", "We celebrate our diversity", "\nBenefits:\n", "reasonable accommodation", "\n  What we offer\n", "unequal opportunity employers", "")
+
+
+@query("""WITH p AS (SELECT doc_id, text, CASE doc_id % 8 WHEN 0 THEN 'Equal Opportunity Employer.' WHEN 1 THEN 'hired without regard to race' WHEN 2 THEN 'We celebrate our diversity' WHEN 3 THEN chr(10) || 'Benefits:' || chr(10)
+  WHEN 4 THEN 'reasonable accommodation' WHEN 5 THEN chr(10) || '  What we offer' || chr(10) WHEN 6 THEN 'unequal opportunity employers' ELSE '' END AS mark, 500 + doc_id % 5 * 100 AS place FROM documents),
+x AS (SELECT *, rtrim(substr(text, 1, place), ' ' || chr(9) || chr(10) || chr(13)) AS head, ltrim(substr(text, place + 1), ' ' || chr(9) || chr(10) || chr(13)) AS tail FROM p WHERE length(text) > 1200),
+w AS (SELECT doc_id, head, head || ' ' || mark || ' ' || tail || ' ' AS whole, CASE doc_id % 8 WHEN 1 THEN length(head) + 7 WHEN 3 THEN length(head) + 1 WHEN 5 THEN length(head) + 1 WHEN 6 THEN NULL WHEN 7 THEN NULL ELSE length(head) + 1 END AS cutoff, length(mark) AS n FROM x)
+SELECT doc_id, sha1(rtrim(CASE WHEN cutoff >= 600 AND cutoff >= 0.3 * length(whole) THEN substr(whole, 1, cutoff) ELSE whole END, ' ' || chr(9) || chr(10) || chr(13))) AS trimmed FROM w""")
 def trim_boilerplate(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha1(text.trim_boilerplate(F.col("text"), ["the", "und"])).alias("trimmed"))
+    docs = read(spark, sf_dir, "documents").where("length(text) > 1200")
+    blank, mark = " \t\n\r", F.element_at(F.array(*map(F.lit, _PLANTED)), (F.col("doc_id") % 8 + 1).cast("int"))
+    place = 500 + F.col("doc_id") % 5 * 100
+    head = F.rtrim(F.substring("text", F.lit(1), place.cast("int")), F.lit(blank))
+    tail = F.ltrim(F.substring("text", (place + 1).cast("int"), F.length("text")), F.lit(blank))
+    whole = F.concat(head, F.lit(" "), mark, F.lit(" "), tail, F.lit(" "))
+    return docs.select("doc_id", whole.alias("whole")).select("doc_id", F.sha1(text.trim_boilerplate(F.col("whole"))).alias("trimmed"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, greatest(0, least(100, json_extract(props, '$.k')::BIGINT + 20)) AS fit FROM events")

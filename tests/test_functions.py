@@ -38,15 +38,66 @@ def test_freshness_edges(spark):
     assert one(spark, lifecycle.freshness(now, now, old, F.lit(False), F.lit(None), now, now)) == "fresh"
 
 
+def test_canonical_urls_keep_names_that_may_matter(spark):
+    canonical = lambda u: one(spark, text.canonical_url(F.lit(u)))
+    assert canonical("https://ex.com/j?src=a&ref=b&source=c&_hsmi=1&igshid=2&WT_mc=3") == "https://ex.com/j?ref=b&source=c&src=a"
+    assert canonical("https://ex.com/j?b=1&a-b=2&a=3&a=1") == "https://ex.com/j?a=3&a=1&a-b=2&b=1"
+    assert canonical(" http://Ex.com:80?q=a%20b#x ") == "http://ex.com/?q=a+b"
+    assert canonical("https://ex.com/a/?x") == "https://ex.com/a/?x="
+
+
+def test_boilerplate_is_cut_at_the_first_match_of_a_marker(spark):
+    cut = lambda t: one(spark, text.trim_boilerplate(F.lit(t)))
+    body = "word " * 150
+    assert cut(body + "We are an equal opportunity employer.") == (body + "We are an").rstrip()
+    early = "equal opportunity employer " + body + "equal opportunity employer"
+    assert cut(early + " \n\u00a0") == early  # the first match lies before 600: the marker says nothing
+    assert cut("x" * 700 + "\nbenefits:\n" + "y" * 9000) == "x" * 700 + "\nbenefits:\n" + "y" * 9000  # under 30 %
+
+
+def test_language_demands_of_the_shipped_table(spark):
+    from tessera.functions import detect
+
+    demands = lambda t: one(spark, detect.language_requirements(F.lit(t)))
+    assert demands("Flytende norsk og engelsk") == ["no"]
+    assert demands("Verhandlungssichere Deutsch, fluent in French") == ["de", "fr"]
+    assert demands("Sehr gute Deutschkenntnisse erforderlich") == ["de"]
+    assert demands("German B2 would be nice to have") == []
+    assert demands("fluent Dutch; " + "x" * 90 + " a plus") == ["nl"]
+
+
+def scored(spark, profile, *rows, places=None):
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, title string, description string, remote boolean, location string")
+    got = scoring.score_postings(frame, profile, location="location", places=places).collect()
+    return [r for r in sorted(got, key=lambda r: r["i"])]
+
+
 def test_score_gates_and_ties(spark):
-    profile = scoring.Profile((scoring.Track("a", "A", ("data",), ("sql",)), scoring.Track("b", "B", ("cloud",), ("sql",))), negative=("intern",), signals=("engineer",))
-    rows = spark.createDataFrame([(1, "Data engineer", ""), (2, "Data intern engineer", ""), (3, "Cook", ""), (4, "Engineer", "sql"), (5, "Cloud data engineer", None)], "i int, t string, d string")
-    got = {r["i"]: r["s"] for r in rows.select("i", scoring.score(*scoring.lowered(F.col("t"), F.col("d")), F.lit(False), profile).alias("s")).collect()}
-    assert (got[1]["score"], got[1]["track"]) == (40, "a")
-    assert got[2]["reason"] == "Excluded (intern)" and got[2]["disqualified"]
-    assert got[3]["reason"] == "No role signal"
-    assert (got[4]["score"], got[4]["track"], got[4]["reason"]) == (5, "a", "A (body-only): sql")
-    assert got[5]["track"] == "a"
+    profile = scoring.Profile((scoring.Track("a", "A", ("data",), ("sql",)), scoring.Track("b", "B", ("Cloud",), ("sql",), variants=("wolke",))), negative=("Intern",), role_negative=("sales",), signals=("engineer",))
+    rows = scored(
+        spark, profile, ("Data engineer", "", False, None), ("Data intern engineer", "", False, None), ("Cook", "", False, None), ("Engineer", "sql", False, None), ("Cloud data engineer", None, False, None),
+        ("Sales engineer", "", False, None), ("Sales data engineer", "", False, None), ("Salesforce engineer", "sql", True, None), ("Wolke engineer", "", False, None),
+    )
+    assert (rows[0]["score"], rows[0]["track"]) == (40, "a")
+    assert rows[1]["reason"] == "Excluded (Intern)" and rows[1]["disqualified"]
+    assert rows[2]["reason"] == "No engineering role signal in title"
+    assert (rows[3]["score"], rows[3]["track"], rows[3]["reason"]) == (5, "a", "A (body-only): sql")
+    assert rows[4]["track"] == "a"
+    assert rows[5]["reason"] == "Non-eng role (sales)" and rows[6]["track"] == "a"
+    assert (rows[7]["score"], rows[7]["track"]) == (13, "a") and rows[8]["reason"] == "B: wolke"
+
+
+def test_score_seniority_regions_and_languages(spark):
+    tracks = (scoring.Track("a", "A", ("developer",)), scoring.Track("b", "B", ("unity",), avoid=("senior",)))
+    profile = scoring.Profile(tracks, signals=("developer",), boost=("senior",), avoid=("principal", "head of"), accept=("europe", "berlin"))
+    places = scoring.Places({"de": "Germany", "us": "United States"}, {"europe": ["de"]}, {}, {"germany": "de", "allemagne": "de", "usa": "us"})
+    rows = scored(
+        spark, profile, ("Senior developer", "", False, "Berlin"), ("Principal developer", "", False, None), ("Developer", "10+ years", False, ""), ("Leading developer", "", True, "Tokyo, USA"),
+        ("Senior unity developer", "", False, "Frankfurt, Allemagne"), ("Developer", "Deutschkenntnisse", False, "Austin, USA"), ("Developer", "", False, "Darmstadt"), ("Headcount developer", "", False, None), places=places,
+    )
+    assert [r["score"] for r in rows] == [48, 32, 32, 48, 48, 0, 40, 40]
+    assert rows[4]["track"] == "a" and rows[2]["seniority_level"] == "staff"
+    assert rows[5]["reason"] == "Region mismatch (Austin, USA)" and rows[5]["lang_req"] == "de" and rows[5]["scored_by"] == "keyword"
 
 
 def test_merge_keeps_what_is_not_refreshed(spark):
