@@ -38,6 +38,8 @@ BITS = 48
 MEMO = 200_000
 #: Share of the most runs that makes a document fit to be the centre of its runs.
 NEARLY = 0.3
+#: Pairs of a component in a run that are looked at first.
+EACH = 2
 #: Documents of one signature run that a task compares with as many others.
 TILE = 2048
 LOW = -(2**63)
@@ -327,41 +329,81 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["ka", "kb"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _cross(batches):
-    """Sorted rows (run, ta, tb, side, key, comp, n, sketch) to the (ka, kb) of different components that may link."""
-    for table in grouped(batches, 3, 4096):
-        run, ta, tb, side, n = (table.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 6))
-        _, key = np.unique(np.array([k.hex() for k in table.column(4).to_pylist()]), return_inverse=True)
-        _, comp = np.unique(np.array([c.hex() for c in table.column(5).to_pylist()]), return_inverse=True)
-        bitmaps = table.column(7).to_pylist()
-        new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])]))
-        left, right, seen = [], [], set()
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(run)], strict=True):
-            members = key[a:b].tobytes() + side[a:b].tobytes() if ta[a] != tb[a] else key[a:b].tobytes()
-            if members in seen:
-                continue
-            seen.add(members)
-            bits = 8 * min(len(x) for x in bitmaps[a:b])
-            x = np.stack([_folded(x, bits) for x in bitmaps[a:b]])
-            rest = np.flatnonzero(comp[a:b] != np.bincount(comp[a:b]).argmax())  # one end is outside the largest component
-            for s in range(0, len(rest), max(1, (1 << 21) // x.size)):
-                i = rest[s : s + max(1, (1 << 21) // x.size)]
-                least = np.bitwise_count(x[i, None, :] ^ x[None, :, :]).sum(axis=2)
-                sizes, total = n[a:b], n[a + i, None] + n[None, a:b]
-                near = (9 * least <= total) & (5 * np.minimum(sizes[i, None], sizes) >= 4 * np.maximum(sizes[i, None], sizes)) & (comp[a + i, None] != comp[None, a:b])
-                if ta[a] != tb[a]:
-                    near &= side[a + i, None] != side[None, a:b]
-                p, q = np.nonzero(near)
-                left.append(a + i[p])
-                right.append(a + q)
-        if not left:
-            continue
-        i, j = np.concatenate(left), np.concatenate(right)
-        swap = key[i] > key[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        _, one = np.unique(key[i] * (key.max() + 1) + key[j], return_index=True)
-        keys = table.column(4).combine_chunks()
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(i[one])), keys.take(pa.array(j[one]))], names=["ka", "kb"])
+def _cross(each: int):
+    """Sorted rows (run, ta, tb, side, key, comp, n, sketch) to the (ka, kb) of different components that may link.
+
+    Of each component but a run's largest one the ``each`` pairs of the least
+    difference by their bitmaps, so there are no more than ``each`` for a
+    member; where that leaves pairs out, a row of nulls says so. A task gives
+    a pair once as long as it remembers it.
+    """
+
+    def run(batches):
+        told: set[bytes | None] = set()
+        for table in grouped(batches, 3, 4096):
+            run, ta, tb, side, n = (table.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 6))
+            _, key = np.unique(np.array([k.hex() for k in table.column(4).to_pylist()]), return_inverse=True)
+            _, comp = np.unique(np.array([c.hex() for c in table.column(5).to_pylist()]), return_inverse=True)
+            bitmaps = table.column(7).to_pylist()
+            new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])]))
+            left, right, seen, more = [], [], set(), False
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(run)], strict=True):
+                members = key[a:b].tobytes() + side[a:b].tobytes() if ta[a] != tb[a] else key[a:b].tobytes()
+                if members in seen:
+                    continue
+                seen.add(members)
+                bits = 8 * min(len(x) for x in bitmaps[a:b])
+                x = np.stack([_folded(x, bits) for x in bitmaps[a:b]])
+                rest = np.flatnonzero(comp[a:b] != np.bincount(comp[a:b]).argmax())  # one end is outside the largest component
+                found = [np.zeros((3, 0))]
+                for s in range(0, len(rest), max(1, (1 << 21) // x.size)):
+                    i = rest[s : s + max(1, (1 << 21) // x.size)]
+                    least = np.bitwise_count(x[i, None, :] ^ x[None, :, :]).sum(axis=2)
+                    sizes, total = n[a:b], n[a + i, None] + n[None, a:b]
+                    near = (9 * least <= total) & (5 * np.minimum(sizes[i, None], sizes) >= 4 * np.maximum(sizes[i, None], sizes)) & (comp[a + i, None] != comp[None, a:b])
+                    if ta[a] != tb[a]:
+                        near &= side[a + i, None] != side[None, a:b]
+                    p, q = np.nonzero(near)
+                    kept, cut_off = _closest(np.stack([i[p], q, least[p, q] / total[p, q]]), comp[a:b], each)
+                    found.append(kept)
+                    more |= cut_off
+                kept, cut_off = _closest(np.concatenate(found, axis=1), comp[a:b], each)
+                more |= cut_off
+                left.append(a + kept[0].astype(np.int64))
+                right.append(a + kept[1].astype(np.int64))
+            i, j = np.concatenate([np.zeros(0, dtype=np.int64), *left]), np.concatenate([np.zeros(0, dtype=np.int64), *right])
+            swap = key[i] > key[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            _, one = np.unique(key[i] * (key.max() + 1) + key[j], return_index=True)
+            keys = table.column(4).combine_chunks()
+            if len(told) > MEMO:
+                told.clear()
+            both = [(x, y) for x, y in zip(*(keys.take(pa.array(e[one], pa.int64())).to_pylist() for e in (i, j)), strict=True) if x + y not in told]
+            told.update(x + y for x, y in both)
+            if more and None not in told:
+                told.add(None)
+                both.append((None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.binary()) for k in (0, 1)], names=["ka", "kb"])
+
+    return run
+
+
+def _closest(pairs: np.ndarray, comp: np.ndarray, each: int) -> tuple[np.ndarray, bool]:
+    """Of the pairs (i, j, distance) the ``each`` closest of every component but the largest, each pair once; and whether that left pairs out."""
+    i, j = pairs[0].astype(np.int64), pairs[1].astype(np.int64)
+    low, high = np.minimum(i, j), np.maximum(i, j)
+    _, one = np.unique(low * len(comp) + high, return_index=True)
+    low, high, distance = low[one], high[one], pairs[2, one]
+    kept = np.zeros(len(one), dtype=bool)
+    large = np.bincount(comp).argmax() if len(comp) else -1
+    at = np.tile(np.arange(len(one)), 2)
+    own = np.concatenate([comp[low], comp[high]])
+    at, own = at[own != large], own[own != large]
+    order = np.lexsort((high[at], low[at], distance[at], own))
+    start = np.flatnonzero(np.diff(own[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    kept[at[order[rank < each]]] = True
+    return np.stack([low, high, distance])[:, kept], not kept.all()
 
 
 def shingle_classes(docs: DataFrame) -> DataFrame:
@@ -412,22 +454,38 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     screened = cut(screened.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct())
     links = cut(_checked(screened, classes, docs))
     roots = components(links, "ka", "kb")
-    # pairs of a run that none of its first links has brought together; bitmaps join only the runs that hold such pairs
-    comps = key_of.select("doc", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc", "key", F.coalesce("root", "key").alias("comp"))
-    inside = met.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc")).distinct().join(comps, "doc").select("run", "key", "comp")
-    mixed = inside.groupBy("run").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 != c1").select("run", F.ceil(F.col("m") / F.lit(tile)).cast("int").alias("c"))
-    crossing = inside = cut(inside.join(mixed, "run").distinct())
     bitmaps = key_of.groupBy("key").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    inside = inside.join(bitmaps, "key").withColumn("side", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    inside = inside.select("run", F.least("side", "other").alias("ta"), F.greatest("side", "other").alias("tb"), "side", "key", "comp", "n", "sketch")
-    tiles = inside.repartition(max(partitions(spark), 8), "run", "ta", "tb").sortWithinPartitions("run", "ta", "tb")
-    more = tiles.mapInArrow(lambda batches: released(_cross(batches)), "ka binary, kb binary").distinct().join(screened, ["ka", "kb"], "left_anti")
-    more = cut(more)
-    let_go(met, key_of, screened, crossing)
-    if more.limit(1).count():
-        roots = components(roots.select(F.col("node").alias("ka"), F.col("root").alias("kb")).union(_checked(more, classes, docs)), "ka", "kb")
-    return table, roots
+    # pairs of a run that none of its first links has brought together: the closest ones of each component at first,
+    # then what is left between those that these didn't join, until no pair is left out
+    tried, each, crossing = screened, EACH, None
+    while True:
+        named = key_of.select("doc", "key") if crossing is None else crossing.select("run", "key")
+        comps = spread_join(named, roots.withColumnRenamed("node", "key"), "key", "doc" if crossing is None else "run", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+        inside = met.where("kind = 1").select(F.col("x").alias("run"), F.col("y").alias("doc")).distinct().join(comps, "doc").select("run", "key", "comp") if crossing is None else comps
+        mixed = inside.groupBy("run").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 != c1").select("run", F.ceil(F.col("m") / F.lit(tile)).cast("int").alias("c"))
+        before, crossing = crossing, cut(inside.join(mixed, "run").distinct())
+        if before is None:
+            let_go(met)
+        else:
+            let_go(before)
+        found = cut(_tiles(crossing, bitmaps).mapInArrow(lambda batches, run=_cross(each): released(run(batches)), "ka binary, kb binary").distinct())
+        more = cut(found.where("ka is not null").join(tried, ["ka", "kb"], "left_anti"))
+        left_out, fresh = found.where("ka is null").limit(1).count(), more.limit(1).count()
+        linked = cut(_checked(more, classes, docs)) if fresh else None
+        if linked is not None and linked.limit(1).count():
+            roots = components(roots.select(F.col("node").alias("ka"), F.col("root").alias("kb")).union(linked), "ka", "kb")
+        if not left_out:
+            let_go(key_of, screened, crossing)
+            return table, roots
+        tried, each = tried.union(more), each * 512  # most components are one by now
+
+
+def _tiles(inside: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Rows (run, ta, tb, side, key, comp, n, sketch), sorted: each run cut into ``c`` sides, each two of which meet in a task."""
+    rows = inside.join(bitmaps, "key").withColumn("side", F.pmod(F.xxhash64("key"), F.col("c")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    rows = rows.select("run", F.least("side", "other").alias("ta"), F.greatest("side", "other").alias("tb"), "side", "key", "comp", "n", "sketch")
+    return rows.repartition(max(partitions(inside.sparkSession), 8), "run", "ta", "tb").sortWithinPartitions("run", "ta", "tb")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
