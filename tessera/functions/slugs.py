@@ -14,6 +14,7 @@ WEB_FILES = ("robots.txt", "favicon.ico", "sitemap.xml", "sitemap.txt", "ads.txt
 WORKABLE_LABELS = ("www", "apply", "jobs", "careers", "help", "support", "resources", "status", "api", "developers", "blog", "app", "auth", "id", "connect", "mail", "marketplace", "partners", "press", "learning")
 GREENHOUSE_HOSTS = ("boards.greenhouse.io", "job-boards.greenhouse.io", "boards.eu.greenhouse.io", "job-boards.eu.greenhouse.io")
 RULE = "^[a-z0-9][a-z0-9_-]{0,62}$"
+#: Hosts that smell of a board, addresses in a text, words of a careers page.
 SMELL = r"(?i)(^|\.)(jobs?|careers?|apply|recruiting|talent)\.|greenhouse|lever|ashby|workday|recruitee|personio|smartrecruiters|workable|bamboohr|breezy|teamtailor"
 IN_TEXT = r"(?i)(?:https?:)?//[a-z0-9.-]+\.[a-z]{2,}[^\s\"'<>\\)]*"
 CAREERS = r"(?i)career|jobs|join[-_]?us|vacanc|work[-_]?with|open[-_]?positions|stellen"
@@ -173,5 +174,27 @@ def probe_result(platform: Column, status: Column, body: Column) -> Column:
     """
     counted = F.get_json_object(body, "$.totalFound").try_cast("long") > 0
     listed = F.get_json_object(body, "$.items[0].requisitionList[0]").isNotNull()
-    alive = F.when(platform == "smartrecruiters", counted).when(platform == "oracle", listed).otherwise(True)
+    open_ = F.get_json_object(body, "$.positions[0]").isNotNull()
+    alive = F.when(platform == "smartrecruiters", counted).when(platform == "oracle", listed).when(platform == "eightfold", open_).otherwise(True)
     return F.when((status == 200) & F.coalesce(alive, F.lit(False)), "active").otherwise("dead")
+
+
+#: Where a board's answer lists its postings and names its company; personio's is XML.
+_LISTS = {"lever": "$", "ashby": "$.jobs", "workable": "$.jobs", "recruitee": "$.offers"}
+_NAMES = {"greenhouse": "$.name", "workable": "$.name", "recruitee": "$.offers[0].company_name", "smartrecruiters": "$.content[0].company.name"}
+
+
+def probe_count(platform: Column, status: Column, body: Column) -> Column:
+    """How many postings a living board's answer holds; null where it doesn't say."""
+    counts = F.when(platform == "smartrecruiters", F.get_json_object(body, "$.totalFound").try_cast("int")).when(platform == "personio", F.regexp_count(body, F.lit("<position>")))
+    for name, path in _LISTS.items():
+        counts = counts.when(platform == name, F.size(F.from_json(F.get_json_object(body, path), "array<string>")))
+    return F.when((probe_result(platform, status, body) == "active") & (counts >= 0), counts)
+
+
+def probe_name(platform: Column, status: Column, body: Column) -> Column:
+    """The company's name in a living board's answer, where its platform gives one."""
+    named = F.when(platform == "personio", F.nullif(F.trim(F.regexp_extract(body, "<subcompany>([^<]*)</subcompany>", 1)), F.lit("")))
+    for name, path in _NAMES.items():
+        named = named.when(platform == name, F.get_json_object(body, path))
+    return F.when(probe_result(platform, status, body) == "active", named)

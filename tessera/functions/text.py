@@ -146,3 +146,28 @@ def hash_half(key: Column, modulus: int = 997) -> Column:
     """tune or confirm, by the parity of the sum of character codes modulo ``modulus``."""
     total = F.aggregate(F.transform(F.split(key.cast("string"), ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a + c)
     return F.when(total % modulus % 2 == 0, "tune").otherwise("confirm")
+
+
+def div_content(html: Column, name: str) -> Column:
+    """What stands in the first ``div`` whose class holds ``name``, with the divs inside; null where there is none or it never closes.
+
+    Tags of divs are numbered by how deep they leave the text; the first that
+    is back at the start ends it.
+    """
+    opened = F.regexp_extract(html, rf'(?i)<div[^>]*class="[^"]*{name}[^"]*"[^>]*>', 0)
+    rest = F.substring(html, F.position(opened, html) + F.length(opened), F.length(html))
+
+    def body(after: Column) -> Column:
+        pieces = F.split(after, "(?i)(?=</?div)")  # each but the first begins with a tag
+        step = lambda p: F.when(F.lower(p).startswith("</div"), -1).when(F.lower(p).startswith("<div"), 1).otherwise(0)
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+        def walk(a: Column, p: Column) -> Column:
+            depth = a["depth"] + step(p)
+            done = a["done"] | (depth == 0)
+            return F.struct(depth.alias("depth"), F.when(done, a["size"]).otherwise(a["size"] + F.length(p)).alias("size"), done.alias("done"))
+
+        end = F.aggregate(pieces, start, walk)
+        return F.when(end["done"], F.substring(after, F.lit(1), end["size"]))
+
+    return F.when(opened != "", let(rest, body))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import detect, slugs
-from tessera.functions.text import host_in, host_of, model_json, norm
+from tessera.functions.text import host_in, host_of, let, model_json, norm
 from tessera.operators.relational import top_per_group
 
 Answers = Callable[[list[str]], list[str | None]]
@@ -32,36 +32,58 @@ class RateLimited(Exception):
     """A provider that asks to be left alone for now."""
 
 
+class OutOfCredit(Exception):
+    """A provider that answers nothing more until it is paid; a task doesn't ask it again."""
+
+
+#: What a provider may fail with; any other exception is a fault of the program and goes out.
+FAULTS = (OSError, TimeoutError, ConnectionError)
+
+
 def chain(*providers: Callable[[], Answers]) -> Callable[[], Answers]:
-    """A factory that asks providers in order, one input at a time, until one answers.
+    """A factory that hands a whole batch to the providers in order, each the inputs that are still open.
 
-    RateLimited goes out only if every provider raised it; other faults give None.
+    RateLimited goes out only if every provider asked raised it; other faults
+    leave the inputs to the next provider, and None where none is left.
     """
 
     def make() -> Answers:
         ready = [p() for p in providers]
 
-        def one(text: str) -> str | None:
-            limited = 0
-            for ask in ready:
+        def answer(texts: list[str]) -> list[str | None]:
+            out: list[str | None] = [None] * len(texts)
+            open_, asked, limited = list(range(len(texts))), 0, 0
+            for client in list(ready):
+                if not open_:
+                    break
+                asked += 1
                 try:
-                    answer = ask([text])[0]
+                    got = client([texts[i] for i in open_])
                 except RateLimited:
                     limited += 1
                     continue
-                except Exception:  # the next provider may know
+                except OutOfCredit:
+                    ready.remove(client)
+                    continue
+                except FAULTS:
                     continue
-                if answer is not None:
-                    return answer
-            if ready and limited == len(ready):
+                for i, value in zip(open_, got, strict=True):
+                    out[i] = value
+                open_ = [i for i in open_ if out[i] is None]
+            if asked and limited == asked:
                 raise RateLimited
-            return None
+            return out
 
-        return lambda texts: [one(t) for t in texts]
+        return answer
 
     return make
 
 
+def tiers(fast: Callable[[], Answers], strong: Callable[[], Answers]) -> dict[str, Callable[[], Answers]]:
+    """Both tiers by name; either falls back on the other one."""
+    return {"fast": chain(fast, strong), "strong": chain(strong, fast)}
+
+
 def ask(df: DataFrame, prompt: str, factory: Callable[[], Answers], answer: str = "answer", batch: int = 256) -> DataFrame:
     """``df`` with the client's answers to ``prompt``, in batches; a null prompt isn't asked."""
     schema = df.withColumn(answer, F.lit(None).cast("string")).schema
@@ -90,15 +112,18 @@ def parse_fit(raw: Column) -> Column:
     only weak ones have a category, an unknown level is null. An answer without
     JSON is weak and carries its own head as the comment.
     """
-    j = model_json(raw, FIT_SCHEMA)
-    readable = F.get_json_object(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "$").isNotNull()
-    given = F.coalesce(j["fitScore"].try_cast("double"), F.lit(0.0))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(given + 0.5))).cast("int")
-    verdict = F.when(j["verdict"].isin(*VERDICTS), j["verdict"]).when(score >= 70, "strong").when(score >= 40, "possible").otherwise("weak")
-    category = F.when(verdict != "weak", "NONE").when(j["category"].isin(*CATEGORIES), j["category"]).otherwise("OTHER")
-    comment = F.when(F.coalesce(readable, F.lit(False)), F.substring(F.coalesce(j["comment"], F.lit("")), 1, 600)).otherwise(F.substring(F.coalesce(raw, F.lit("")), 1, 300))
-    level = F.when(j["seniorityLevel"].isin(*LEVELS), j["seniorityLevel"])
-    return F.struct(score.alias("score"), verdict.alias("verdict"), category.alias("category"), comment.alias("comment"), F.coalesce(j["ghostRisk"], F.lit(False)).alias("ghost_risk"), level.alias("level"))
+    def fields(x: Column) -> Column:
+        j, whole = x["j"], x["raw"]
+        score = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.coalesce(j["fitScore"].try_cast("double"), F.lit(0.0)) + 0.5))).cast("int")
+        verdict = F.when(j["verdict"].isin(*VERDICTS), j["verdict"]).when(score >= 70, "strong").when(score >= 40, "possible").otherwise("weak")
+        category = F.when(verdict != "weak", "NONE").when(j["category"].isin(*CATEGORIES), j["category"]).otherwise("OTHER")
+        comment = F.when(x["readable"], F.substring(F.coalesce(j["comment"], F.lit("")), 1, 600)).otherwise(F.substring(F.coalesce(whole, F.lit("")), 1, 300))
+        level = F.when(j["seniorityLevel"].isin(*LEVELS), j["seniorityLevel"])
+        return F.struct(score.alias("score"), verdict.alias("verdict"), category.alias("category"), comment.alias("comment"), F.coalesce(j["ghostRisk"], F.lit(False)).alias("ghost_risk"), level.alias("level"))
+
+    braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
+    found = lambda b: F.struct(F.when(b != "", F.from_json(b, FIT_SCHEMA)).alias("j"), F.coalesce(F.get_json_object(b, "$").isNotNull(), F.lit(False)).alias("readable"), raw.alias("raw"))
+    return let(let(braces, found), fields)
 
 
 def parse_candidates(raw: Column, n: Column) -> Column:
@@ -136,14 +161,35 @@ def best_similarity(df: DataFrame, vector: str, queries: list[list[float]], out:
     return df.withColumn(out, F.array_max(F.array(*dots)))
 
 
-def duplicate_candidates(new: DataFrame, stored: DataFrame, ident: str, company: str, seen: str) -> DataFrame:
-    """(ident, candidate, place): up to twelve stored rows of the same company for each new row, latest first."""
+def embed(df: DataFrame, text: str, factory, vector: str = "vector", batch: int = 256) -> DataFrame:
+    """``df`` with the model's normalised vectors of ``text``, in batches; a null text has none. An answer of another length than its batch is a fault."""
+    schema = df.withColumn(vector, F.lit(None).cast("array<double>")).schema
+
+    def run(frames):
+        client = factory()
+        for frame in frames:
+            for start in range(0, len(frame), batch):
+                part = frame.iloc[start : start + batch].copy()
+                asked = part[text].notna()
+                texts = part.loc[asked, text].tolist()
+                got = client(texts) if texts else []
+                if len(got) != len(texts):
+                    raise ValueError(f"{len(got)} vectors of {len(texts)} texts")
+                part[vector] = pd.Series([None] * len(part), index=part.index, dtype="object")
+                part.loc[asked, vector] = pd.Series([list(map(float, v)) for v in got], index=part.index[asked], dtype="object")
+                yield part
+
+    return df.mapInPandas(run, schema).withColumn(vector, normalized(F.col(vector)))
+
+
+def duplicate_candidates(new: DataFrame, stored: DataFrame, ident: str, company: str, seen: str, most: int = CANDIDATES) -> DataFrame:
+    """(ident, candidate, place): up to ``most`` stored rows of the same company for each new row, latest first."""
     left = new.select(F.col(ident), norm(F.col(company)).alias("k__"))
     right = stored.where("duplicate_of is null").select(F.col(ident).alias("candidate"), norm(F.col(company)).alias("k__"), F.col(seen).alias("seen__"))
     # one company may hold many rows: its latest ones are found before the join
-    right = top_per_group(right, ["k__"], [F.desc("seen__"), F.col("candidate")], CANDIDATES + 1, "r__").drop("r__")
+    right = top_per_group(right, ["k__"], [F.desc("seen__"), F.col("candidate")], most + 1, "r__").drop("r__")
     pairs = left.where("k__ <> ''").join(right, "k__").where(F.col(ident) != F.col("candidate"))
-    return top_per_group(pairs, [ident], [F.desc("seen__"), F.col("candidate")], CANDIDATES, "place").select(ident, "candidate", "place")
+    return top_per_group(pairs, [ident], [F.desc("seen__"), F.col("candidate")], most, "place").select(ident, "candidate", "place")
 
 
 def same_role(a: Column, b: Column, least: float = 0.8) -> Column:

@@ -67,6 +67,20 @@ def transitions(df: DataFrame, key: str, run: str, present: str) -> DataFrame:
     return df.withColumn("event", event).where(F.col("event").isNotNull()).select(key, run, "event")
 
 
+def presence_events(df: DataFrame, key: str, run: str, last: Column) -> DataFrame:
+    """(key, run, event) where presence changes, from the runs in which a key was seen: listed, relisted after a gap, delisted in the run after its last sight.
+
+    Runs are whole numbers up to ``last``; keys that are absent have no rows,
+    so nothing is made for each key and run.
+    """
+    order = Window.partitionBy(key).orderBy(run)
+    rows = df.select(key, run, last.alias("last__"), F.lag(run).over(order).alias("before__"), F.lead(run).over(order).alias("after__"))
+    here = F.when(F.col("before__").isNull(), "listed").when(F.col(run) - F.col("before__") > 1, "relisted")
+    gone = (F.col(run) < F.col("last__")) & (F.col("after__").isNull() | (F.col("after__") - F.col(run) > 1))
+    changes = F.array_compact(F.array(F.when(here.isNotNull(), F.struct(F.col(run).alias("run"), here.alias("event"))), F.when(gone, F.struct((F.col(run) + 1).alias("run"), F.lit("delisted").alias("event")))))
+    return rows.select(key, F.explode(changes).alias("c__")).select(key, F.col("c__.run").alias(run), "c__.event")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str], value: list[str]) -> DataFrame:
     """The values of each key's last row in ``order``, in one aggregation."""
     last = F.max_by(F.struct(*value), F.struct(*order))

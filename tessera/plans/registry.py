@@ -257,10 +257,9 @@ SELECT user_id, day::VARCHAR AS day, CASE WHEN present AND coalesce(ever, 0) = 0
 WHERE (present AND coalesce(ever, 0) = 0) OR (present AND NOT before) OR (NOT present AND before)""")
 def listing_transitions(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
-    runs = events.groupBy().agg(F.sequence(F.min("day"), F.max("day")).alias("days"))  # one row
-    grid = events.select("user_id").distinct().join(F.broadcast(runs)).select("user_id", F.explode("days").alias("day"))
-    known = grid.join(events.withColumn("seen", F.lit(True)), ["user_id", "day"], "left").withColumn("present", F.coalesce("seen", F.lit(False)))
-    return relational.transitions(known, "user_id", "day", "present").withColumn("day", F.col("day").cast("string"))
+    first = events.agg(F.min("day").alias("a"), F.max("day").alias("b"))  # one row; a run a day
+    found = relational.presence_events(events.join(F.broadcast(first)).select("user_id", F.datediff("day", "a").alias("run"), F.datediff("b", "a").alias("last")), "user_id", "run", F.col("last"))
+    return found.join(F.broadcast(first.select("a"))).select("user_id", F.date_add("a", F.col("run")).cast("string").alias("day"), "event")
 
 
 @query("SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 12")
@@ -370,10 +369,8 @@ def precision_at_100(spark, sf_dir):
 @query(_POOL + """, k AS (SELECT label, row_number() OVER (ORDER BY score DESC, vec_id) AS p, count(*) OVER () AS n FROM e)
 SELECT round(coalesce(sum((label = 3 AND p <= ceil(n * 0.2))::INT)::DOUBLE / nullif(sum((label = 3)::INT), 0), 0), 6) AS gem_recall FROM k""")
 def gem_recall(spark, sf_dir):
-    pool = _pool(spark, sf_dir)
-    top = pool.select("vec_id", "score", "label").orderBy(F.desc("score"), "vec_id").limit(-(-pool.count() // 5))
-    gems = pool.where("label = 3").agg(F.count("*").alias("all"))
-    return top.where("label = 3").agg(F.count("*").alias("hit")).join(F.broadcast(gems)).select(F.round(F.coalesce(F.col("hit") / F.nullif("all", F.lit(0)), F.lit(0.0)), 6).alias("gem_recall"))
+    pool = _pool(spark, sf_dir).select("vec_id", "score", "label")
+    return ranking.gem_recall(pool, [F.desc("score"), F.col("vec_id")], F.col("label") == 3).withColumn("gem_recall", F.round("gem_recall", 6))
 
 
 @query(_POOL + """, r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS a, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS b FROM e) SELECT round(corr(a, b), 6) AS rho FROM r""")

@@ -31,12 +31,20 @@ def _stateful(df: DataFrame, key: str, kind: str, out: str, state: str, step: Ca
     return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", state, "append", "NoTimeout")
 
 
+def _in_time(rows: pd.DataFrame, at: str, *columns: str):
+    """The rows by time, those of one time in the order of their values; rows without a time are passed over."""
+    if not len(rows):
+        return []
+    kept = rows[rows[at].notna()].sort_values([at, *columns], kind="stable")
+    return list(zip(kept[at], *(kept[c] for c in columns), strict=True))
+
+
 def listing_events(df: DataFrame, key: str, at: str, present: str) -> DataFrame:
     """(key, at, event) where a posting's presence changes: listed, delisted, relisted. The key is text."""
 
     def step(rows: pd.DataFrame, held):
         was, found = (held[0] if held else None), []
-        for when, now in sorted(zip(rows[at], rows[present], strict=True)):
+        for when, now in _in_time(rows, at, present):
             if now and was != "in":
                 found.append((when, "listed" if was is None else "relisted"))
                 was = "in"
@@ -67,7 +75,7 @@ def status_log(df: DataFrame, key: str, at: str, to: str, reason: str) -> DataFr
 
     def step(rows: pd.DataFrame, held):
         found = []
-        for when, status, why in sorted(zip(rows[at], rows[to], rows[reason], strict=True), key=lambda r: r[0]):
+        for when, status, why in _in_time(rows, at, to, reason):
             held = status_after(held, when, status, why if isinstance(why, str) else None)
             found.append((when, *held))
         return found, tuple(held)
@@ -81,7 +89,7 @@ def cadence(df: DataFrame, key: str, at: str, rate: str) -> DataFrame:
     def step(rows: pd.DataFrame, held):
         interval, hit_rate = held or (1, 0.5)
         found = []
-        for when, share in sorted(zip(rows[at], rows[rate], strict=True)):
+        for when, share in _in_time(rows, at, rate):
             interval = 1 if share > 0 else min(30, max(2, interval * 2))
             hit_rate = int((hit_rate * 0.7 + share * 0.3) * 1000 + 0.5) / 1000
             found.append((when, interval, hit_rate))
@@ -99,31 +107,51 @@ def windowed_counts(df: DataFrame, at: str, keys: list[str], size: str, late: st
     return df.withWatermark(at, late).groupBy(F.window(at, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def merge_into(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], ok: str = "true") -> Callable[[DataFrame, int], None]:
+def merge_into(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], ok: str = "true", keep: int | None = 3) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer: each batch's merge with the last version is the next version under ``path``.
 
     A version is named after its batch and written whole, so a repeated batch
-    writes the same again. A batch where FAILED_SHARE or more of the rows
-    break ``ok`` is taken for an outage and leaves the table as it was.
+    writes the same again; the last ``keep`` versions stay. Rows that break
+    ``ok`` are not merged but kept under ``path``/failed, a folder a batch, to
+    be tried again (retries()). A batch where FAILED_SHARE or more of the rows
+    break it is taken for an outage: none of its rows is merged, all are kept.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
-            n, good = batch.agg(F.count("*"), F.count_if(F.expr(ok))).first()
-            if n == 0 or (n - good) / n >= FAILED_SHARE:
+            good = F.coalesce(F.expr(ok), F.lit(False))
+            n, fine = batch.agg(F.count("*"), F.count_if(good)).first()
+            outage = n > 0 and (n - fine) / n >= FAILED_SHARE
+            failed = batch if outage else batch.where(~good)
+            if n > fine:
+                failed.write.mode("overwrite").parquet(f"{path}/failed/b={number}")
+            if n == 0 or outage:
                 return
             known = [v for v in versions(spark, path) if v < number]
-            good_rows = batch.where(ok)
-            out = merge(spark.read.parquet(f"{path}/v={known[-1]}"), good_rows) if known else good_rows
+            out = merge(spark.read.parquet(f"{path}/v={known[-1]}"), batch.where(good)) if known else batch.where(good)
             out.write.mode("overwrite").parquet(f"{path}/v={number}")
+            for old in known[: 1 - keep] if keep and keep > 1 else ():
+                _remove(spark, f"{path}/v={old}")
         finally:
             batch.unpersist()
 
     return write
 
 
+def retries(spark, path: str) -> DataFrame | None:
+    """The rows that batches kept for a retry, with their batch; None where there are none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/failed")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.parquet(f"{path}/failed").withColumnRenamed("b", "batch") if there else None
+
+
+def _remove(spark, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def versions(spark, path: str) -> list[int]:
     """The written versions under ``path``, oldest first; a version without its success mark doesn't count."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -43,6 +43,30 @@ def test_ask(spark):
         models.chain(limited, limited)()(["x"])
 
 
+def test_chain_hands_on_what_is_open():
+    calls = []
+
+    def half():
+        return lambda texts: calls.append(("half", len(texts))) or [t if t < "c" else None for t in texts]
+
+    def rest():
+        return lambda texts: calls.append(("rest", len(texts))) or [t.upper() for t in texts]
+
+    def broke():
+        def go(texts):
+            calls.append(("broke", len(texts)))
+            raise models.OutOfCredit
+
+        return go
+
+    client = models.chain(broke, half, rest)()
+    assert client(["a", "c", "d"]) == ["a", "C", "D"] and client(["a"]) == ["a"]
+    assert calls == [("broke", 3), ("half", 3), ("rest", 2), ("half", 1)]
+    with pytest.raises(KeyError):  # a fault of the program is no provider's fault
+        models.chain(lambda: lambda texts: {}["x"], rest)()(["a"])
+    assert models.tiers(half, rest)["strong"]()(["c"]) == ["C"]
+
+
 def test_parsers(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
     fit = lambda s: one(models.parse_fit(F.lit(s).cast("string")))
@@ -125,4 +149,6 @@ def test_merge_into(spark, tmp_path):
     write(spark.createDataFrame([(2, 5), (3, -1)], schema), 1)
     write(spark.createDataFrame([(9, -1)], schema), 2)  # all failed: an outage
     write(spark.createDataFrame([], schema), 3)
+    kept = sorted(map(tuple, events.retries(spark, path).select("k", "v", "batch").collect()))
+    assert kept == [(3, -1, 1), (9, -1, 2)]  # to be tried again
     assert events.versions(spark, path) == [0, 1] and sorted(map(tuple, spark.read.parquet(f"{path}/v=1").collect())) == [(1, 1), (2, 5)]

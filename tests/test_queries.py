@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import pool, postings, registry  # noqa: F401  (pool and postings register their queries)
+from tessera.plans import connectors, detectors, pool, postings, registry  # noqa: F401  (they register their queries)
 
 SMALL = "/root/testdata/sf0.001"
 
