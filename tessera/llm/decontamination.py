@@ -22,6 +22,8 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 #: Seeds of a benchmark that are sent to every executor (16 bytes each); a larger benchmark is joined by shuffles.
 MAX_SEEDS = 1_000_000
+#: Items of a large benchmark that a task remembers.
+ITEMS = 64
 #: Characters of text that are turned into tokens at once.
 BLOCK = 1_000_000
 #: White space and ASCII punctuation stand between tokens.
@@ -259,10 +261,15 @@ def _joined_pairs(docs: DataFrame, items: DataFrame, coverage: float, least: int
     pairs = met.join(docs, "row").join(items, "irow").select("doc_id", "t__", "item_id", "i__")
 
     def run(batches):
+        known: dict[tuple, Benchmark] = {}
         for batch in batches:
             rows = []
             for doc, value, item, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows += [_row(doc, found) for found in Benchmark([(item, token_hashes([text])[0])], least).compare(token_hashes([value])[0], coverage)]
+                if (item, text) not in known:
+                    if len(known) >= ITEMS:
+                        known.clear()
+                    known[item, text] = Benchmark([(item, token_hashes([text])[0])], least)
+                rows += [_row(doc, found) for found in known[item, text].compare(token_hashes([value])[0], coverage)]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW_PAIRS)
 
     return pairs.mapInArrow(run, f"doc_id long, {PAIRS}")

@@ -302,6 +302,13 @@ def _may_link(na, sa, nb, sb) -> bool:
     return 5 * min(na, nb) >= 4 * max(na, nb) and 9 * least_difference(sa, sb) <= na + nb
 
 
+def _thinned(batches):
+    """(key, n, sketch) with bitmaps of a quarter of their width, which bound a difference too, if not as well."""
+    for batch in batches:
+        maps = [None if x is None else _folded(x, max(64, 2 * len(x))).tobytes() for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["key", "n", "sketch"])
+
+
 def _screen(batches):
     """(ka, na, sa, kb, nb, sb) to the (ka, kb) that may link."""
     for batch in batches:
@@ -454,7 +461,8 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
     screened = cut(screened.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct())
     links = cut(_checked(screened, classes, docs))
     roots = components(links, "ka", "kb")
-    bitmaps = key_of.groupBy("key").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    thin = key_of.select("key", "n", "sketch").mapInArrow(_thinned, "key binary, n long, sketch binary").groupBy("key").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    whole = key_of.groupBy("key").agg(F.min("n").alias("n"), F.min("sketch").alias("s"))
     # pairs of a run that none of its first links has brought together: the closest ones of each component at first,
     # then what is left between those that these didn't join, until no pair is left out
     tried, each, crossing = screened, EACH, None
@@ -468,16 +476,17 @@ def link_classes(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFram
             let_go(met)
         else:
             let_go(before)
-        found = cut(_tiles(crossing, bitmaps).mapInArrow(lambda batches, run=_cross(each): released(run(batches)), "ka binary, kb binary").distinct())
-        more = cut(found.where("ka is not null").join(tried, ["ka", "kb"], "left_anti"))
-        left_out, fresh = found.where("ka is null").limit(1).count(), more.limit(1).count()
-        linked = cut(_checked(more, classes, docs)) if fresh else None
-        if linked is not None and linked.limit(1).count():
+        found = cut(_tiles(crossing, thin).mapInArrow(lambda batches, run=_cross(each): released(run(batches)), "ka binary, kb binary").distinct())
+        more = found.where("ka is not null").join(tried, ["ka", "kb"], "left_anti")
+        both = more.join(whole.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col("s").alias("sa")), "ka").join(whole.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("s").alias("sb")), "kb")
+        linked = cut(_checked(both.select("ka", "na", "sa", "kb", "nb", "sb").mapInArrow(_screen, "ka binary, kb binary"), classes, docs))
+        left_out = found.where("ka is null").limit(1).count()
+        if linked.limit(1).count():
             roots = components(roots.select(F.col("node").alias("ka"), F.col("root").alias("kb")).union(linked), "ka", "kb")
         if not left_out:
             let_go(key_of, screened, crossing)
             return table, roots
-        tried, each = tried.union(more), each * 512  # most components are one by now
+        tried, each = tried.union(found.where("ka is not null")), each * 512  # most components are one by now
 
 
 def _tiles(inside: DataFrame, bitmaps: DataFrame) -> DataFrame:

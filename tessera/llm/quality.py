@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod
-from tessera.llm.textbytes import released
+from tessera.llm.textbytes import hand_back, released
 
 PASSAGE = 64
 #: A bound on the labelled documents that the model is fitted on.
@@ -178,7 +178,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         zero = fit(np.zeros((1, FEATURES)), np.array([1]), np.array([0.5]), epochs=1)
         return zero | {"c": zero["c"] * 0, "cb": np.zeros(1)}
     bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES) for b in got["x"].to_pylist()]
-    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), got["y"].to_numpy().astype(np.float64))
+    model = fit(np.concatenate(bags), np.array([len(b) for b in bags]), got["y"].to_numpy().astype(np.float64))
+    del bags, got
+    hand_back()
+    return model
 
 
 def score_quality(df: DataFrame, model: dict[str, np.ndarray], text: str = "text", column: str = "score") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod
+from tessera.llm.textbytes import hand_back
 
 #: Bounds on the labelled documents of the fit, and on the features kept.
 SAMPLE = 6000
@@ -173,7 +174,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     got = rows.mapInArrow(words, "k long, y int, words string").toArrow().sort_by([("k", "ascending"), ("words", "ascending")])
     if not got.num_rows:
         return {"names": [], "w": np.zeros(0), "cuts": np.arange(3.0, 3.0 + GRADES - 1)}
-    return train_words([set(w.split()) for w in got["words"].to_pylist()], got["y"].to_numpy())
+    model = train_words([set(w.split()) for w in got["words"].to_pylist()], got["y"].to_numpy())
+    del got
+    hand_back()
+    return model
 
 
 def grade(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
