@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free(taken, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``taken`` has it, in any case of its letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``; a null key is a key."""
-    names = df.columns
+    (rank,) = free(df.columns, "rank__")
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank__", first).where("rank__ = 1").select(*names)
+    return df.withColumn(rank, first).where(F.col(rank) == 1).drop(rank)
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -28,15 +39,17 @@ def union_by_priority(frames: list[DataFrame], priority: str = "source_prio") ->
 
 def two_key_match(left: DataFrame, right: DataFrame, first: str, second: str, key: str, found: str = "match") -> DataFrame:
     """``left`` with the smallest ``key`` of ``right`` that agrees on ``first``, or else on ``second``."""
-    one = right.groupBy(first).agg(F.min(key).alias("m1__"))
-    two = right.groupBy(second).agg(F.min(key).alias("m2__"))
-    return left.join(one, first, "left").join(two, second, "left").withColumn(found, F.coalesce("m1__", "m2__")).drop("m1__", "m2__")
+    m1, m2 = free(left.columns, "m1__", "m2__")
+    one = right.groupBy(first).agg(F.min(key).alias(m1))
+    two = right.groupBy(second).agg(F.min(key).alias(m2))
+    return left.join(one, first, "left").join(two, second, "left").withColumn(found, F.coalesce(m1, m2)).drop(m1, m2)
 
 
 def flag_if_in(df: DataFrame, keys: DataFrame, on: list[str], flag: str) -> DataFrame:
     """``df`` with a boolean: whether its key is among ``keys``."""
-    marks = keys.select(*on).distinct().withColumn(flag + "__", F.lit(True))
-    return df.join(marks, on, "left").withColumn(flag, F.coalesce(flag + "__", F.lit(False))).drop(flag + "__")
+    (mark,) = free(df.columns, flag + "__")
+    marks = keys.select(*on).distinct().withColumn(mark, F.lit(True))
+    return df.join(marks, on, "left").withColumn(flag, F.coalesce(mark, F.lit(False))).drop(mark)
 
 
 def absent(stored: DataFrame, fetched: DataFrame, source: str, on: list[str]) -> DataFrame:
@@ -46,10 +59,13 @@ def absent(stored: DataFrame, fetched: DataFrame, source: str, on: list[str]) ->
 
 def merge(stored: DataFrame, incoming: DataFrame, key: str, refreshed: list[str]) -> DataFrame:
     """Upsert: new keys come in whole, known keys take only the ``refreshed`` columns."""
-    new = incoming.select(F.col(key), *(F.col(c).alias(f"{c}__new") for c in stored.columns if c != key), F.lit(True).alias("in__"))
-    both = stored.withColumn("old__", F.lit(True)).join(new, key, "full_outer")
-    take = lambda c: F.when(F.col("in__").isNotNull() & (F.lit(c in refreshed) | F.col("old__").isNull()), F.col(f"{c}__new")).otherwise(F.col(c)).alias(c)
-    return both.select(key, *(take(c) for c in stored.columns if c != key))
+    rest = [c for c in stored.columns if c != key]
+    here, there, *fresh = free(stored.columns, "in__", "old__", *(f"{c}__new" for c in rest))
+    named = dict(zip(rest, fresh, strict=True))
+    new = incoming.select(F.col(key), *(F.col(c).alias(named[c]) for c in rest), F.lit(True).alias(here))
+    both = stored.withColumn(there, F.lit(True)).join(new, key, "full_outer")
+    take = lambda c: F.when(F.col(here).isNotNull() & (F.lit(c in refreshed) | F.col(there).isNull()), F.col(named[c])).otherwise(F.col(c)).alias(c)
+    return both.select(key, *(take(c) for c in rest))
 
 
 def replace_partitions(stored: DataFrame, incoming: DataFrame, part: str, least: int) -> DataFrame:

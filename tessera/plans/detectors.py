@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.checkpoints import shared_folder
 from tessera.functions import detect, places, profiles, prompts, slugs, text
-from tessera.operators import funnels, models
+from tessera.operators import audit, funnels, models
 from tessera.plans.postings import _streamed, drained
 from tessera.plans.registry import query, read
 from tessera.sources import aggregators, boards, feeds, registers, requests
@@ -475,3 +475,43 @@ def probe_addresses(spark, sf_dir):
     platform = F.when(k == 0, "lever").when(k == 1, "ashby").when(k == 4, "nowhere").otherwise("workday")
     token = F.when(k == 0, "a").when(k == 1, "a b").when(k == 2, "t@wd5/ext").otherwise("broken")
     return read(spark, sf_dir, "supplier").select("s_suppkey", funnels.probe_url(platform, token, F.when(k == 0, "eu").otherwise("")).alias("url"))
+
+
+# ------------------------------------------------------------- crawl accounting
+
+_CRAWLED = (
+    ("https://jobs.lever.co/acme{}", "matched"), ("https://plain.org/x{}", "foreign"), ("nonsense{}", "unparseable"), ("https://jobs.lever.co/robots.txt", "robots.txt"), ("https://acme.recruitee.com/sitemap.xml?a={}", "matched"), ("https://jobs.lever.co/", "root"),
+    ("https://jobs.lever.co/embed/{}", "denied segment"), ("https://jobs.lever.co/v2/{}", "version"), ("https://jobs.lever.co/%zz{}", "bad encoding"), ("https://jobs.lever.co/-bad{}", "bad token"), ("https://recruitee.com/{}", "apex"), ("https://a.b.recruitee.com/{}", "nested label"), ("https://www.recruitee.com/{}", "denied label"), ("https://join.com/about{}", "UNEXPLAINED"),
+)
+
+
+def _crawled(spark, sf_dir):
+    at = (F.col("p_partkey") % len(_CRAWLED) + 1).cast("int")
+    url = F.replace(F.element_at(F.array(*(F.lit(u) for u, _ in _CRAWLED)), at), F.lit("{}"), F.col("p_size").cast("string"))
+    return audit.classified(read(spark, sf_dir, "part").select("p_partkey", url.alias("url")))
+
+
+_BUCKET = "CASE p_partkey % 14 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(_CRAWLED)) + " END"
+
+
+@query(f"SELECT {_BUCKET} AS bucket, count(*) AS n FROM part GROUP BY 1")
+def crawl_accounting(spark, sf_dir):
+    return audit.accounting(_crawled(spark, sf_dir))
+
+
+@query("SELECT 'lever' AS platform, count(DISTINCT p_size) FILTER (p_partkey % 14 = 0) AS boards FROM part UNION ALL SELECT 'recruitee', 1")
+def crawl_unique_boards(spark, sf_dir):
+    return audit.unique_boards(_crawled(spark, sf_dir))
+
+
+@query("SELECT 'about' || p_size AS segment, count(*) AS n FROM part WHERE p_partkey % 14 = 13 GROUP BY 1 ORDER BY n DESC, segment LIMIT 15")
+def crawl_offending_segments(spark, sf_dir):
+    return audit.offending_segments(_crawled(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, (p_partkey * 37) % 101 AS score FROM part), a AS (SELECT * FROM c WHERE score >= 20), t AS (SELECT id FROM a ORDER BY score DESC, id LIMIT 25)
+SELECT a.id, t.id IS NOT NULL AS detail FROM a LEFT JOIN t USING (id)""")
+def two_stage_cards(spark, sf_dir):
+    """Cards above the score gate; the best within the budget get their details, the others stay with what the card says."""
+    cards = read(spark, sf_dir, "part").select("p_partkey", F.lit("s").alias("source"), F.col("p_partkey").cast("string").alias("external_id"), (F.col("p_partkey") * 37 % 101).alias("score"))
+    return boards.detail_plan(cards, "score", 20, 25, [F.desc("score"), F.col("p_partkey")], keep_rest=True).select(F.col("p_partkey").alias("id"), "detail")

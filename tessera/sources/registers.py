@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.functions.detect import collapsed_name
 
 LEAST_ROWS = 50
+#: What a register's entry says of a company.
+DUTCH, DANISH, IRISH = "IND recognised sponsor", "SIRI fast-track certified", "IE employment permit issued this year"
 
 
 def _cell(cell: Column) -> Column:
@@ -31,7 +33,7 @@ def dutch(pages: DataFrame, html: str = "body") -> DataFrame:
     row = r"""(?is)<th[^>]*scope=["']row["'][^>]*>.*?</th>\s*<td[^>]*>.*?</td>"""
     rows = pages.select(F.explode(F.regexp_extract_all(html, F.lit(row), F.lit(0))).alias("r"))
     cells = rows.select(_cell(F.regexp_extract("r", "(?is)<th[^>]*>(.*?)</th>", 1)).alias("name"), _cell(F.regexp_extract("r", "(?is)<td[^>]*>(.*?)</td>", 1)).alias("n"))
-    return cells.where("name <> ''").select("name", F.when(F.col("n") != "", F.concat(F.lit("IND recognised sponsor (KvK "), "n", F.lit(")"))).otherwise("IND recognised sponsor").alias("detail"))
+    return cells.where("name <> ''").select("name", F.when(F.col("n") != "", F.concat(F.lit(f"{DUTCH} (KvK "), "n", F.lit(")"))).otherwise(DUTCH).alias("detail"))
 
 
 def danish(pages: DataFrame, html: str = "body") -> DataFrame:
@@ -40,7 +42,7 @@ def danish(pages: DataFrame, html: str = "body") -> DataFrame:
     rows = pages.select(F.explode(F.regexp_extract_all(html, F.lit(row), F.lit(0))).alias("r"))
     pair = r"(?is)<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>"
     cells = rows.select(_cell(F.regexp_extract("r", pair, 1)).alias("name"), _cell(F.regexp_extract("r", pair, 2)).alias("n"))
-    return cells.where((F.col("name") != "") & F.col("n").rlike(r"\d{6,}")).select("name", F.concat(F.lit("SIRI fast-track certified (CVR "), "n", F.lit(")")).alias("detail"))
+    return cells.where((F.col("name") != "") & F.col("n").rlike(r"\d{6,}")).select("name", F.concat(F.lit(f"{DANISH} (CVR "), "n", F.lit(")")).alias("detail"))
 
 
 def british(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +77,7 @@ def irish(files: DataFrame, content: str = "content") -> DataFrame:
             yield pd.DataFrame({"name": [n for data in batch[content] for n in names(data)]}, dtype="object")
 
     rows = files.select(content).mapInPandas(parse, "name string").select(_cell(F.col("name")).alias("name"))
-    return rows.where((F.col("name") != "") & ~F.col("name").rlike("(?i)^(employer name|total)$")).withColumn("detail", F.lit("IE employment permit issued this year"))
+    return rows.where((F.col("name") != "") & ~F.col("name").rlike("(?i)^(employer name|total)$")).withColumn("detail", F.lit(IRISH))
 
 
 def replace_register(stored: DataFrame, incoming: DataFrame) -> DataFrame:
