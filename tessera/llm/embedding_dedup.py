@@ -27,6 +27,8 @@ THRESHOLD = 0.95
 WIDTH = 2.0
 #: Chance that all tables miss a pair just at the threshold.
 MISS = 0.001
+#: Numbers of crowded buckets that are sent to every executor (16 bytes each); more of them meet the vectors in a shuffle.
+SENT = 1_000_000
 #: Buckets of so many vectors are remembered by a task.
 MEMO = 40_000
 #: Rows of a bucket that one task compares with as many others.
@@ -244,9 +246,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     tables = Tables(*shape(classes.count(), threshold, miss=miss))
     member = _memberships(classes, tables, dtype)
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("m"), F.min("place").alias("place"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("m > 1")
-    crowded = crowded.groupBy("m", "x", "y").agg(F.min(F.struct("place", "bucket"))["bucket"].alias("bucket"))
-    met = member.join(crowded, "bucket").withColumn("c", F.ceil(F.col("m") / F.lit(tile)).cast("int"))
+    crowded = cut(member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    few = F.broadcast(crowded) if crowded.count() <= SENT else crowded
+    shared = cut(member.join(few, "bucket"))
+    groups = shared.groupBy("bucket").agg(F.max("m").alias("m"), F.min("place").alias("place"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    groups = groups.groupBy("m", "x", "y").agg(F.min(F.struct("place", "bucket"))["bucket"].alias("bucket")).select("bucket")
+    met = shared.join(groups, "bucket").withColumn("c", F.ceil(F.col("m") / F.lit(tile)).cast("int"))
     met = met.withColumn("side", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
     met = met.select("bucket", "id", "side", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
     met = met.select("bucket", F.least("side", "other").alias("ta"), F.greatest("side", "other").alias("tb"), "side", "id")
@@ -260,7 +265,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     answer = classes.select("id", "cls", "n", "rep").join(linked, "id", "left").join(links, "id", "left")
     answer = cut(answer.select("cls", F.coalesce("low", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    let_go(classes, found)
+    let_go(classes, crowded, shared, found)
     out = spread_join(rows.select("vec_id", "cls"), answer, "cls", "vec_id", "left")  # copies of one vector may be a third of all rows
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
