@@ -515,3 +515,16 @@ def two_stage_cards(spark, sf_dir):
     """Cards above the score gate; the best within the budget get their details, the others stay with what the card says."""
     cards = read(spark, sf_dir, "part").select("p_partkey", F.lit("s").alias("source"), F.col("p_partkey").cast("string").alias("external_id"), (F.col("p_partkey") * 37 % 101).alias("score"))
     return boards.detail_plan(cards, "score", 20, 25, [F.desc("score"), F.col("p_partkey")], keep_rest=True).select(F.col("p_partkey").alias("id"), "detail")
+
+
+@query("""SELECT arg_min(p_name, p_partkey) AS name, arg_min('Worker "' || p_brand || '", A — ' || p_type, p_partkey) AS detail FROM part WHERE p_partkey < 1000 GROUP BY lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g'))""")
+def british_register_csv(spark, sf_dir):
+    """The register as a file of quoted CSV in the shared folder, read back: a company's first route in file order."""
+    folder = f"{shared_folder(spark)}/register-{uuid.uuid4().hex}"
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    rating = F.concat(F.lit('Worker "'), "p_brand", F.lit('", A'))
+    line = F.concat_ws(",", quoted(F.col("p_name")), F.lit("Town"), F.lit(""), quoted(rating), quoted(F.col("p_type")))
+    rows = read(spark, sf_dir, "part").where("p_partkey < 1000").select("p_partkey", line.alias("line"))
+    head = spark.createDataFrame([(-1, "Organisation Name,Town/City,County,Type & Rating,Route")], "p_partkey long, line string")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("p_partkey").select("line").write.text(folder)
+    return registers.british(spark, folder)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lifecycle, text
-from tessera.operators import ranking, relational, scoring
+from tessera.operators import ledger, ranking, relational, scoring
 
 FLAGSHIP = "keyword_score_documents"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,12 +232,12 @@ def register_semi_flag(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def anti_join_unembedded(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    return ledger.without(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def version_stale_anti(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti")
+    return ledger.without(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1)
 
 
 _DAYS = "WITH a AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts::DATE = DATE '2024-01-10'), b AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts::DATE = DATE '2024-01-11')"
