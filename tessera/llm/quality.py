@@ -114,15 +114,16 @@ def _forward(m: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray):
 
 
 def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 260, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> dict[str, np.ndarray]:
-    """The model for bags ``n`` of passages ``x`` with labels ``y`` in {0, 1}: full-batch Adam on the log loss."""
+    """The model for bags ``n`` of passages ``x`` with labels ``y`` in {0, 1}: full-batch Adam on the log loss, in single precision."""
     rng = np.random.default_rng(seed)
-    x = x.astype(np.float64)
+    x, y = x.astype(np.float32), y.astype(np.float32)
     m = {
         "mean": x.mean(0), "scale": x.std(0) + 1e-2,
         "e": rng.normal(0, 0.1, (x.shape[1], hidden)), "eb": np.zeros(hidden),
         "v": rng.normal(0, 0.2, (hidden, gate)), "u": rng.normal(0, 0.2, (hidden, gate)), "w": rng.normal(0, 0.2, gate),
         "c": rng.normal(0, 0.2, hidden), "cb": np.zeros(1),
     }
+    m = {k: w.astype(np.float32) for k, w in m.items()}
     at = np.cumsum(n) - n
     slots = {k: (np.zeros_like(m[k]), np.zeros_like(m[k])) for k in ("e", "eb", "v", "u", "w", "c", "cb")}
     for epoch in range(1, epochs + 1):
@@ -143,7 +144,7 @@ def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int
             first += 0.1 * (grad - first)
             second += 0.001 * (grad * grad - second)
             m[k] = m[k] - rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-    return m
+    return {k: w.astype(np.float64) for k, w in m.items()}
 
 
 def predict(m: dict[str, np.ndarray], texts: list[str | None]) -> np.ndarray:
