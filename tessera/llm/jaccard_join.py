@@ -38,6 +38,8 @@ BITS = 48
 MEMO = 200_000
 #: Share of the most runs that makes a document fit to be the centre of its runs.
 NEARLY = 0.3
+#: Bits of a bitmap that are never folded together.
+THIN = 1024
 #: Pairs of a component in a run that are looked at first.
 EACH = 2
 #: Documents of one signature run that a task compares with as many others.
@@ -303,9 +305,9 @@ def _may_link(na, sa, nb, sb) -> bool:
 
 
 def _thinned(batches):
-    """(key, n, sketch) with bitmaps of a quarter of their width, which bound a difference too, if not as well."""
+    """(key, n, sketch) with bitmaps of a quarter of their width, THIN bits at least, which bound a difference too, if not as well."""
     for batch in batches:
-        maps = [None if x is None else _folded(x, max(64, 2 * len(x))).tobytes() for x in batch.column(2).to_pylist()]
+        maps = [None if x is None else _folded(x, max(THIN, 2 * len(x))).tobytes() for x in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["key", "n", "sketch"])
 
 
