@@ -37,11 +37,11 @@ BITS = 48
 #: Sets that a task remembers, so that their copies do not speak again.
 MEMO = 200_000
 #: Share of the most runs that makes a document fit to be the centre of its runs.
-NEARLY = 0.3
+NEARLY, OFTEN = 0.3, 0.3
 #: Bits of a bitmap that are never folded together.
 THIN = 1024
 #: Pairs of a component in a run that are looked at first.
-EACH = 2
+EACH = 1024
 #: Documents of one signature run that a task compares with as many others.
 TILE = 2048
 LOW = -(2**63)
@@ -274,7 +274,8 @@ def _runs(batches):
         most = np.maximum.reduceat(held[number], np.cumsum(size) - size)
         near = held[number] >= NEARLY * most[run]  # members of nearly the most runs count alike, so that ranges agree on one
         hub = np.minimum.reduceat(np.where(near, member, np.iinfo(np.int64).max), np.cumsum(size) - size)
-        ends = np.stack([np.repeat(hub, size), member], axis=1)
+        other = np.maximum.reduceat(np.where(held[number] >= OFTEN * most[run], member, np.iinfo(np.int64).min), np.cumsum(size) - size)
+        ends = np.concatenate([np.stack([np.repeat(c, size), member], axis=1) for c in (hub, other)])
         ends = ends[ends[:, 0] != ends[:, 1]]
         ends.sort(axis=1)
         ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
