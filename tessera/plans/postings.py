@@ -120,7 +120,7 @@ def english_first_dedupe(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").withColumn("token", F.lit("jobs.example.org"))
     job = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("unifiedStandardTitle")).alias("response"))).alias("jobSearchResult")))
     locale = F.when(F.col("o_orderstatus") == "F", "en_US").otherwise("de_DE")
-    pages = orders.select("token", F.lit("Acme").alias("company"), locale.alias("region"), F.col("o_orderkey").cast("int").alias("page"), job.alias("body"))
+    pages = orders.select("token", F.lit("Acme").alias("company"), locale.alias("region"), F.col("o_orderkey").alias("page"), job.alias("body"))
     return ats.fetched(pages, "successfactors").select("external_id", "title")
 
 

@@ -157,15 +157,15 @@ def workday_posted(posted: Column, now: Column) -> Column:
 
 
 def locale_page(region: Column, page: Column) -> Column:
-    """Page numbers that put English pages first, so that English titles win."""
-    return page + F.when(region.startswith("en"), 0).otherwise(1 << 20)
+    """Places of pages that put English ones first whatever their numbers, so that English titles win."""
+    return F.struct(F.when(region.startswith("en"), 0).otherwise(1).alias("foreign"), page.alias("page"))
 
 
 def fetched(pages: DataFrame, platform: str, now: Column | None = None) -> DataFrame:
     """The postings of ``platform`` among its fetched pages."""
     board = BOARDS[platform]
     if platform == "successfactors":
-        pages = pages.withColumn("page", locale_page(F.col("region"), F.col("page")).cast("int"))
+        pages = pages.withColumn("page", locale_page(F.col("region"), F.col("page")))
     if platform == "workday":
         at = now if now is not None else F.current_timestamp()
         return postings(pages, board, lambda posted: workday_posted(posted, at))

@@ -38,3 +38,13 @@ def test_resolve_country_keeps_customers_of_many_nations(spark, tmp_path):
     spark.range(1500).selectExpr("id AS n_nationkey", "concat('NATION_', id % 25) AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
     spark.range(1500).selectExpr("id AS c_custkey", "id AS c_nationkey", "'X' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
     assert registry.queries()["resolve_country"](spark, str(tmp_path)).count() == 1500
+
+
+@pytest.mark.parametrize("far", [(1 << 20) + 6, 5_000_000_000])
+def test_english_first_dedupe_with_keys_far_apart(spark, tmp_path, far):
+    keys = [(1, "O", 5, "german"), (1, "F", far, "english"), (1, "F", far + 1, "late"), (2, "P", far, "last"), (2, "O", 7, "first")]
+    spark.createDataFrame(keys, "o_custkey long, o_orderstatus string, o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in registry.queries()["english_first_dedupe"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    assert got == set(con.sql(registry.oracle_sql()["english_first_dedupe"]).fetchall()) == {("1", "english"), ("2", "first")}

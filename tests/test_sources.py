@@ -77,6 +77,14 @@ def test_english_wins(spark):
     assert got == {"1": "Developer", "2": "Koch"}
 
 
+@pytest.mark.parametrize("far", [(1 << 20) + 1, (1 << 31) - 1])
+def test_english_wins_on_pages_of_any_number(spark, far):
+    body = lambda title: json.dumps({"jobSearchResult": [{"id": 1, "unifiedStandardTitle": title}]})
+    rows = [("h", "A", "de_DE", 0, body("Entwickler")), ("h", "A", "en_US", far, body("Developer")), ("i", "A", None, 3, body("Cuoco")), ("i", "A", "de_DE", far, body("Koch"))]
+    got = {r["source"]: r["title"] for r in ats.fetched(spark.createDataFrame(rows, boards.PAGES), "successfactors").collect()}
+    assert got == {"sf:h": "Developer", "sf:i": "Cuoco"}
+
+
 def test_workday_dates(spark):
     now = F.lit(dt.datetime(2024, 5, 10))
     ask = lambda s: spark.range(1).select(ats.workday_posted(F.lit(s), now).alias("x")).first()[0]
